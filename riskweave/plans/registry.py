@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+MODULES = (
+    "entity_queries",
+    "link_queries",
+    "vector_queries",
+)
 
-def all_queries() -> dict[str, Query]:
-    from riskweave.plans import entity_queries
 
-    out: dict[str, Query] = {}
-    for module in (entity_queries,):
-        out.update(module.QUERIES)
+def _collect(attribute: str) -> dict:
+    out: dict = {}
+    for name in MODULES:
+        module = importlib.import_module(f"riskweave.plans.{name}")
+        out.update(getattr(module, attribute))
     return out
 
 
-def all_oracles() -> dict[str, str]:
-    from riskweave.plans import entity_queries
+def all_queries() -> dict[str, Query]:
+    return _collect("QUERIES")
 
-    out: dict[str, str] = {}
-    for module in (entity_queries,):
-        out.update(module.ORACLES)
-    return out
+
+def all_oracles() -> dict[str, str]:
+    return _collect("ORACLES")
