@@ -13,6 +13,7 @@ MODULES = (
     "entity_queries",
     "link_queries",
     "vector_queries",
+    "graph_queries",
 )
 
 
