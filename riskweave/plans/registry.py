@@ -14,6 +14,7 @@ MODULES = (
     "link_queries",
     "vector_queries",
     "graph_queries",
+    "outlier_queries",
 )
 
 
