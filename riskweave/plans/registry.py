@@ -15,6 +15,7 @@ MODULES = (
     "vector_queries",
     "graph_queries",
     "outlier_queries",
+    "model_queries",
 )
 
 
