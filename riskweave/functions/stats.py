@@ -71,6 +71,15 @@ def exact_quantile(df: DataFrame, col: str, q: float, weight: str | None = None)
     return low + (position - rank) * (high - low)
 
 
+def value_at_rank(df: DataFrame, col: str, rank: int) -> float:
+    """Value at a 0-based rank, without sorting the table."""
+    rows = df.select(F.col(col).cast("double").alias("v"), F.lit(1).cast("long").alias("w")).where(
+        F.col("v").isNotNull()
+    )
+    head = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    return _order_statistic(rows, rank, head["lo"], head["hi"])
+
+
 def running_sums(
     df: DataFrame, order: str, values: Sequence[str], descending: bool = True, parts: int | None = None
 ) -> DataFrame:

@@ -16,6 +16,7 @@ MODULES = (
     "graph_queries",
     "outlier_queries",
     "model_queries",
+    "alert_queries",
 )
 
 
