@@ -226,12 +226,12 @@ class OneClassSVM(Detector):
     ) -> OneClassSVM:
         data = materialise(distinct_points(points, "id"), "svm")
         gamma = scale_gamma(data)
-        width = len(data.first()["vec"])
+        width, places = len(data.first()["vec"]), data.count()
         directions, shifts = cls.fourier_map(width, features, gamma, seed)
         model = cls(directions, shifts, _mean_features(data, directions, shifts), 0.0)
         for _ in range(steps):
             scored = model.scores(data.select("id", "vec", "copies"), "copies")
-            cut = exact_quantile(scored, "score", 1.0 - nu, "copies")
+            cut = exact_quantile(scored, "score", 1.0 - nu, "copies", places)
             target = _mean_features(data, directions, shifts, model.weights, -cut)
             gap = model.weights - target
             size = float(gap @ gap)
@@ -300,6 +300,7 @@ def _mean_features(data, directions, shifts, weights=None, at_most: float | None
             if not len(pdf):
                 continue
             z = _fourier(np.stack(pdf["vec"].to_numpy()).astype(np.float64), directions, shifts)
+            # A point counts as often as it occurs.
             w = pdf["copies"].to_numpy(dtype=np.float64)
             if weights is not None:
                 w = np.where(z @ weights <= at_most + 1e-12, w, 0.0)

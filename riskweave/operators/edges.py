@@ -169,11 +169,9 @@ def graph_nodes(catalog: DataFrame, edges: DataFrame) -> DataFrame:
 
 def node_degree(catalog: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct neighbours per node, zero for isolated ones."""
-    linked = both_ways(collapse(edges)).groupBy(F.col("src").alias("entity_id")).agg(
-        F.count(F.lit(1)).alias("degree")
-    )
-    nodes = graph_nodes(catalog, edges)
-    return nodes.join(linked, "entity_id", "left").na.fill(0, ["degree"])
+    linked = both_ways(collapse(edges)).select(F.col("src").alias("entity_id"), F.lit(1).alias("one"))
+    everyone = catalog.select("entity_id", F.lit(0).alias("one")).unionByName(linked)
+    return everyone.groupBy("entity_id").agg(F.sum("one").alias("degree"))
 
 
 def relation_counts(edges: DataFrame) -> DataFrame:

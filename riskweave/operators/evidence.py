@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskweave import schemas
 from riskweave.functions import literals, text
 from riskweave.operators.profiles import ordered_distinct
+from riskweave.session import materialise
 from riskweave.sources.tables import with_row_order
 
 
@@ -65,7 +66,10 @@ def evidence_details(evidence: DataFrame) -> DataFrame:
     Reasons are distinct in order of appearance.  A snippet stands in as a
     reason only while no row up to its own has given one.
     """
-    facts = _row_facts(with_row_order(evidence).where(F.col("entity_id").isNotNull()))
+    # Parsed once, read by three aggregations.
+    facts = materialise(
+        _row_facts(with_row_order(evidence).where(F.col("entity_id").isNotNull())), "facts"
+    )
 
     def first_of(name: str):
         return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("ord"))).alias(name)
