@@ -226,8 +226,10 @@ ORACLES = {
           count(*) FILTER (WHERE is_suspicious_analyst <> 1 AND is_outlier = 1) AS fp,
           count(*) FILTER (WHERE is_suspicious_analyst = 1 AND is_outlier <> 1) AS fn FROM flagged)""",
     "roc_auc_exact": _JUDGED
-    + " SELECT round(sum(n / nn * (tp + tp - p) / (2 * pp)), 6) AS roc_auc FROM cum",
+    + """ SELECT CASE WHEN max(pp) = 0 OR max(nn) = 0 THEN 0.0::DOUBLE
+        ELSE round(sum(n / nn * (tp + tp - p) / (2 * pp)), 6) END AS roc_auc FROM cum""",
     "pr_auc_trapezoid": _JUDGED
-    + """ SELECT round(sum(p / pp * (tp / (tp + fp)
-        + CASE WHEN tp + fp - p - n > 0 THEN (tp - p) / (tp + fp - p - n) ELSE 1.0 END) / 2), 6) AS pr_auc FROM cum""",
+    + """ SELECT CASE WHEN max(pp) = 0 OR max(nn) = 0 THEN 0.0::DOUBLE
+        ELSE round(sum(p / pp * (tp / (tp + fp)
+          + CASE WHEN tp + fp - p - n > 0 THEN (tp - p) / (tp + fp - p - n) ELSE 1.0 END) / 2), 6) END AS pr_auc FROM cum""",
 }
