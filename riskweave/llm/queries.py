@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.llm.bpe import encode_decode
 from riskweave.llm.decontaminate import covered, decontaminate
 from riskweave.llm.exact_dedup import exact_dedup
+from riskweave.llm.langid import held_out, predict_language, train_language_model
 from riskweave.llm.line_dedup import drop_repeated_lines
 from riskweave.llm.secret_scan import RULES, scan_secrets, span_text
 from riskweave.llm.sharding import shard_documents
@@ -16,11 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_language_model(docs.where(~held_out("doc_id")))
+    given = docs.select("doc_id", "text", held_out("doc_id").alias("held_out"))
+    return predict_language(given, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    coded = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return placed.select(
@@ -58,7 +76,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_bpe": op3_bpe,
     "op6_feistel_sharding": op6_feistel_sharding,
     "op7_decontamination": op7_decontamination,
     "op9_line_dedup": op9_line_dedup,
