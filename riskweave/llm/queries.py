@@ -11,6 +11,7 @@ from riskweave.llm.decontaminate import covered, decontaminate
 from riskweave.llm.exact_dedup import exact_dedup
 from riskweave.llm.langid import held_out, predict_language, train_language_model
 from riskweave.llm.line_dedup import drop_repeated_lines
+from riskweave.llm.near_dedup import near_duplicates
 from riskweave.llm.secret_scan import RULES, scan_secrets, span_text
 from riskweave.llm.sharding import shard_documents
 
@@ -39,6 +40,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     )
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return placed.select(
@@ -79,6 +84,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
+    "op4_near_dedup": op4_near_dedup,
     "op6_feistel_sharding": op6_feistel_sharding,
     "op7_decontamination": op7_decontamination,
     "op9_line_dedup": op9_line_dedup,
