@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskweave.llm.bpe import encode_decode
 from riskweave.llm.decontaminate import covered, decontaminate
 from riskweave.llm.exact_dedup import exact_dedup
+from riskweave.llm.html_text import extract_main_text, train_labeller
 from riskweave.llm.langid import held_out, predict_language, train_language_model
 from riskweave.llm.line_dedup import drop_repeated_lines
 from riskweave.llm.near_dedup import near_duplicates
@@ -44,6 +45,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = extract_main_text(pages.select("page_id", "url", "html"), train_labeller(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return placed.select(
@@ -85,6 +92,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
     "op4_near_dedup": op4_near_dedup,
+    "op5_html_text": op5_html_text,
     "op6_feistel_sharding": op6_feistel_sharding,
     "op7_decontamination": op7_decontamination,
     "op9_line_dedup": op9_line_dedup,
