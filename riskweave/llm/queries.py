@@ -13,6 +13,7 @@ from riskweave.llm.html_text import extract_main_text, train_labeller
 from riskweave.llm.langid import held_out, predict_language, train_language_model
 from riskweave.llm.line_dedup import drop_repeated_lines
 from riskweave.llm.near_dedup import near_duplicates
+from riskweave.llm.passages import repeated_passages
 from riskweave.llm.secret_scan import RULES, scan_secrets, span_text
 from riskweave.llm.sharding import shard_documents
 
@@ -68,6 +69,20 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with a repeated passage: its passages, how many, and the least partner."""
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    span = F.struct("start", "end")
+    return found.groupBy("doc_id").agg(
+        F.countDistinct(span).alias("n_passages"),
+        F.min("partner_id").alias("partner_id"),
+        F.max(F.col("end") - F.col("start")).cast("long").alias("longest"),
+        F.array_join(
+            F.transform(F.array_sort(F.collect_set(span)), lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","
+        ).alias("passages"),
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = drop_repeated_lines(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -95,6 +110,7 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_feistel_sharding": op6_feistel_sharding,
     "op7_decontamination": op7_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
