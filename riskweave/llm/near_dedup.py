@@ -125,14 +125,14 @@ def near_duplicates(
     percent: int = 80,
     miss: float = MISS,
 ) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row per document.
+    """``(doc_id, n_shingles, component_id, kept, k1, k2)``, one row per document.
 
     Documents are linked when their sets of distinct ``size``-word shingles have
     a Jaccard similarity of at least ``percent`` hundredths; ``component_id`` is
     the least id reachable.  Null and wordless texts have no shingles and are
     linked with nothing; a component without any id has none, and its rows are
     all kept.  Rows repeated with their id share one decision.  Other columns
-    are not read.
+    are not read; ``k1, k2`` are the hash of the text, to join the decisions back.
 
     Equal sets are one node.  First each node meets the least node of one of its
     buckets; after that only bucket mates of different components meet, so a
@@ -199,10 +199,10 @@ def near_duplicates(
     of_node = named.join(least, "root").select("node", "component_id")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return (
-        sketched.select("id", "n", "node")
+        sketched.select("id", "n", "node", "k1", "k2")
         .join(of_node, "node", "left")
         .select(
             F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
-            F.col("id").eqNullSafe(component).alias("kept"),
+            F.col("id").eqNullSafe(component).alias("kept"), "k1", "k2",
         )
     )

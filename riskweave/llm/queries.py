@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from riskweave.llm.bpe import encode_decode
 from riskweave.llm.decontaminate import covered, decontaminate
 from riskweave.llm.exact_dedup import exact_dedup
@@ -43,7 +44,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85).drop("k1", "k2")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,4 +114,5 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "pipeline": corpus_pipeline.run,
 }
