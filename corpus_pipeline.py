@@ -23,25 +23,31 @@ from riskweave.session import materialise
 MIN_SCORE = 0.3
 
 
+def _row(docs: DataFrame):
+    """The whole row as one column, so that no name of ``docs`` can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model tells; no text, no letters or no confidence is a rejection."""
     model = train_language_model(docs.where(~held_out("doc_id")))
-    told = predict_language(docs, model, names=("_lang_pred", "_score"))
-    return told.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
+    told = predict_language(docs.select(_row(docs), "text"), model)
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more of them share; ``n_chars`` follows the text."""
-    cut = drop_repeated_lines(docs, names=("_kept_text", "_n_lines", "_n_dropped"))
-    new = {"text": F.col("_kept_text"), "n_chars": F.char_length("_kept_text").cast(docs.schema["n_chars"].dataType)}
-    return cut.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    cut = drop_repeated_lines(docs.select(_row(docs), "text"))
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each near-duplicate group; a row that is repeated whole stays once."""
     decided = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), "k1", "k2").distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    keyed = with_text_key(docs.select(row, F.col("doc_id").alias("_doc"), text_of("text").alias("_text")), F.col("_text"))
+    keyed = with_text_key(docs.select(_row(docs), F.col("doc_id").alias("_doc"), text_of("text").alias("_text")), F.col("_text"))
     same = keyed["_doc"].eqNullSafe(decided["_id"]) & (keyed["k1"] == decided["k1"]) & (keyed["k2"] == decided["k2"])
     kept = keyed.join(decided, same, "left_semi").dropDuplicates(["_doc", "k1", "k2"])
     return kept.select("_row.*")

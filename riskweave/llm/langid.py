@@ -80,10 +80,10 @@ def fit_ftrl(
     beta: float = 1.0,
     l1: float = 0.05,
     l2: float = 0.01,
-    epochs: int = 5,
+    updates: int = 800,
     batch: int = 40,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and biases; the bias is one more feature that no penalty shrinks."""
+    """Weights and biases after ``updates`` batches; the bias is one more feature that no penalty shrinks."""
     z = np.zeros((buckets + 1, labels))
     n = np.zeros_like(z)
     penalty = np.full((buckets + 1, 1), l1)
@@ -95,26 +95,28 @@ def fit_ftrl(
         return np.where(np.abs(zz) > penalty[at], w, 0.0)
 
     rng = np.random.default_rng(7)
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for lo in range(0, len(order), batch):
-            part = order[lo : lo + batch]
-            at, local = np.unique(np.concatenate([*(rows[i][0] for i in part), [buckets]]), return_inverse=True)
-            x = np.zeros((len(part), at.size))
-            start = 0
-            for k, i in enumerate(part):
-                size = rows[i][0].size
-                x[k, local[start : start + size]] = rows[i][1]
-                start += size
-            x[:, -1] = 1.0
-            w = weights(at)
-            p = np.exp((s := x @ w) - s.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(part)), y[part]] -= 1.0
-            g = x.T @ p / len(part)
-            n_new = n[at] + g * g
-            z[at] += g - (np.sqrt(n_new) - np.sqrt(n[at])) / alpha * w
-            n[at] = n_new
+    order, lo = np.zeros(0, dtype=np.int64), 0
+    for _ in range(updates):
+        if lo >= order.size:
+            order, lo = rng.permutation(len(rows)), 0
+        part = order[lo : lo + batch]
+        lo += batch
+        at, local = np.unique(np.concatenate([*(rows[i][0] for i in part), [buckets]]), return_inverse=True)
+        x = np.zeros((len(part), at.size))
+        start = 0
+        for k, i in enumerate(part):
+            size = rows[i][0].size
+            x[k, local[start : start + size]] = rows[i][1]
+            start += size
+        x[:, -1] = 1.0
+        w = weights(at)
+        p = np.exp((s := x @ w) - s.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(part)), y[part]] -= 1.0
+        g = x.T @ p / len(part)
+        n_new = n[at] + g * g
+        z[at] += g - (np.sqrt(n_new) - np.sqrt(n[at])) / alpha * w
+        n[at] = n_new
     w = weights(np.arange(buckets + 1))
     return w[:-1], w[-1]
 
