@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from riskweave.session import materialise
 
-# Up to this many rows the built-in percentile holds them in one buffer.
-SMALL_ROWS = 200_000
 BINS = 2048
 
 
@@ -45,28 +43,22 @@ def _order_statistic(df: DataFrame, rank: int, lo: float, hi: float) -> float:
 
 
 def exact_quantile(
-    df: DataFrame, col: str, q: float, weight: str | None = None, rows_known: int | None = None
+    df: DataFrame, col: str, q: float, weight: str | None = None
 ) -> float | None:
     """Quantile with linear interpolation between neighbouring ranks.
 
-    ``weight`` counts how often a row occurs.  Small tables use the built-in
-    aggregate; larger ones never bring more than a histogram together.
-    ``rows_known`` spares the count when the caller has it.
+    ``weight`` counts how often a row occurs.  No more than a histogram is ever
+    brought together.
     """
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     rows = df.select(F.col(col).cast("double").alias("v"), w.alias("w")).where(F.col("v").isNotNull())
-    if rows_known is not None and rows_known <= SMALL_ROWS:
-        return rows.agg(F.percentile("v", q, F.col("w")).alias("p")).first()["p"]
     head = rows.agg(
-        F.count(F.lit(1)).alias("rows"),
         F.sum("w").alias("n"),
         F.min("v").alias("lo"),
         F.max("v").alias("hi"),
     ).first()
     if not head["n"]:
         return None
-    if head["rows"] <= SMALL_ROWS:
-        return rows.agg(F.percentile("v", q, F.col("w")).alias("p")).first()["p"]
     position = q * (head["n"] - 1)
     rank = math.floor(position)
     low = _order_statistic(rows, rank, head["lo"], head["hi"])

@@ -194,7 +194,8 @@ _SCORERS = {
 
 
 def _forest() -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=100, maxDepth=10, seed=SEED)
+    # full-grown trees as far as Spark allows: 30 levels
+    return RandomForestClassifier(numTrees=100, maxDepth=30, seed=SEED)
 
 
 def _boosted() -> GBTClassifier:

@@ -95,17 +95,11 @@ def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_COMPARED: dict[tuple[str, str], DataFrame] = {}
-
-
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nine-model comparison; its table is kept for the second reader."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _COMPARED:
-        points = materialise(labelled_points(spark, sf_dir), "labelled")
-        table, _ = supervised.compare_models(points)
-        _COMPARED[key] = materialise(table, "compared")
-    return _COMPARED[key]
+    """The nine-model comparison."""
+    points = materialise(labelled_points(spark, sf_dir), "labelled")
+    table, _ = supervised.compare_models(points)
+    return materialise(table, "compared")
 
 
 def supervised_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

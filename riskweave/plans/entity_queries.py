@@ -63,7 +63,9 @@ ORACLES = {
       s AS (SELECT entity_id, count(*) AS n, count(*) FILTER (WHERE found > 0) AS h FROM sources GROUP BY 1),
       e AS (SELECT coalesce(entity_id, '') AS entity_id, max(identity_score) AS sc, count(*) AS n,
               count(*) FILTER (WHERE regexp_matches(review_required, '(?i)true|1')) AS r
-            FROM evidence GROUP BY 1)
+            FROM evidence GROUP BY 1),
+      m AS (SELECT coalesce(entity_id, '') AS entity_id, arg_min(match_count, ord) AS match_count,
+              arg_min(sources_hit, ord) AS sources_hit FROM match_summary GROUP BY 1)
       SELECT coalesce(s.entity_id, e.entity_id, m.entity_id) AS entity_id,
         coalesce(s.n, 0) AS sources_evaluated, coalesce(s.h, 0) AS sources_with_hallazgo,
         round(coalesce(e.sc, 0.0), 6) AS max_identity_score,
@@ -72,7 +74,7 @@ ORACLES = {
         CASE WHEN coalesce(e.r, 0) > 0 THEN 'needs_review' WHEN coalesce(e.n, 0) > 0 THEN 'accepted'
              ELSE 'no_match' END AS overall_decision
       FROM s FULL JOIN e ON s.entity_id = e.entity_id
-      FULL JOIN match_summary m ON m.entity_id = coalesce(s.entity_id, e.entity_id)""",
+      FULL JOIN m ON m.entity_id = coalesce(s.entity_id, e.entity_id)""",
     "label_distribution": with_ctes("consolidated")
     + """ SELECT is_suspicious_analyst AS label, count(*) AS rows,
         round(count(*) / (SELECT count(*) FROM consolidated)::DOUBLE, 4) AS share

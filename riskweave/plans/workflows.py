@@ -143,7 +143,7 @@ def cluster_entities(
     grouped = labels.get("HDBSCAN")
     if grouped is None:
         grouped = density.density_clusters(
-            clustering.narrow(points), smallest, min(5, max(1, smallest // 2))
+            clustering.dense_arrays(points), smallest, min(5, max(1, smallest // 2))
         )
     outliers = forest.transform(dense).toDF("id", "anomaly_score_embedding", "is_embedding_outlier")
     near = clustering.with_centroid_distance(kmeans, points).toDF("id", "kmeans_cluster", "distance_to_centroid")

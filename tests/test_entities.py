@@ -10,58 +10,66 @@ from riskweave.sources import tables
 
 @pytest.fixture(scope="module")
 def raw(spark):
+    """Three entities: one in every table, one only looked up, one only matched."""
+
+    def asked(name, country, kind):
+        return f"[{{'entity_id': '{name}', 'query_value': 'Name of {name}', 'metadata': {{'country_code': '{country}', 'entity_type': '{kind}'}}}}]"
+
     sources = spark.createDataFrame(
         [
-            (0, "OFAC-01", "[{'entity_id': 'OFAC-01', 'query_value': 'JUAN PEREZ', 'metadata': {'country_code': 'MEX', 'entity_type': 'PF'}}]", "1"),
-            (1, "OFAC-02", "[{'entity_id': 'OFAC-02', 'query_value': 'EMPRESA SA', 'metadata': {'country_code': 'PAN', 'entity_type': 'PM'}}]", "0"),
+            (0, "CL-7", asked("CL-7", "PER", "PM"), "3"),
+            (1, "CL-7", asked("CL-7", "PER", "PM"), "0"),
+            (2, "SAT_69B-4", asked("SAT_69B-4", "CHL", "PF"), "2"),
         ],
         "ord long, entity_id string, query_used string, evidence_count string",
     )
     evidence = spark.createDataFrame(
-        [(0, "OFAC-01", 0.9, "True"), (1, "OFAC-01", 0.8, "False")],
+        [(0, "CL-7", 0.35, "False"), (1, "CL-7", 0.62, "1"), (2, "CL-7", 0.41, "True"), (3, "SAT_69B-4", 0.2, "no")],
         "ord long, entity_id string, identity_score double, review_required string",
     )
     match = spark.createDataFrame(
-        [(0, "OFAC-01", "JUAN PEREZ", "MEX", "PF", "OFAC_SDN", "2", "[]", 1)],
+        [(0, "CL-7", "Andes SA", "per", "PM", "LIST_A", "4.0", "[]", 0), (1, "CL-9", "Rosa Luz", "arg", "PF", "LIST_B", "1", "[]", 1)],
         "ord long, entity_id string, entity_name string, input_country string, input_entity_type string,"
         " sources_hit string, match_count string, matches_json string, is_suspicious_analyst int",
     )
     return sources, evidence, match
 
 
-def test_catalog_of_the_small_fixture(raw):
-    rows = {r["entity_id"]: r for r in catalog.entity_catalog(*raw).collect()}
-    assert set(rows) == {"OFAC-01", "OFAC-02"}
-    assert rows["OFAC-01"]["entity_type"] == "FISICA"
-    assert rows["OFAC-02"]["entity_type"] == "MORAL"
-    assert (rows["OFAC-01"]["country_code"], rows["OFAC-02"]["country_code"]) == ("MEX", "PAN")
+def test_catalog_takes_the_match_row_first(raw):
+    rows = {r["entity_id"]: tuple(r)[1:] for r in catalog.entity_catalog(*raw).collect()}
+    assert rows == {
+        "CL-7": ("Andes SA", "MORAL", "PER"),
+        "CL-9": ("Rosa Luz", "FISICA", "ARG"),
+        "SAT_69B-4": ("Name of SAT_69B-4", "FISICA", "CHL"),
+    }
 
 
-def test_consolidation_of_the_small_fixture(raw):
+def test_consolidation_counts_per_entity(raw):
     sources, evidence, match = raw
     out = consolidate.consolidate_catalog(catalog.entity_catalog(*raw), sources, evidence, match)
-    rows = {r["entity_id"]: r for r in out.collect()}
-    one, two = rows["OFAC-01"], rows["OFAC-02"]
-    assert (one["evidence_items"], one["max_identity_score"], one["overall_decision"]) == (2, 0.9, "needs_review")
-    assert (one["match_count"], one["sources_hit"], one["is_suspicious_analyst"]) == (2, "OFAC_SDN", 1)
-    assert (one["sources_evaluated"], one["sources_with_hallazgo"], one["review_items"]) == (1, 1, 1)
-    assert (two["overall_decision"], two["is_suspicious_analyst"], two["match_count"]) == ("no_match", 0, 0)
-    assert (two["max_identity_score"], two["sources_hit"], two["sources_with_hallazgo"]) == (0.0, "", 0)
+    names = ["sources_evaluated", "sources_with_hallazgo", "evidence_items", "review_items", "match_count", "sources_hit", "overall_decision"]
+    rows = {r["entity_id"]: tuple(r[n] for n in names) for r in out.collect()}
+    assert rows == {
+        "CL-7": (2, 1, 3, 2, 4, "LIST_A", "needs_review"),
+        "CL-9": (0, 0, 0, 0, 1, "LIST_B", "no_match"),
+        "SAT_69B-4": (1, 1, 1, 0, 0, "", "accepted"),
+    }
+    assert {r["entity_id"]: (r["max_identity_score"], r["is_suspicious_analyst"]) for r in out.collect()} == {
+        "CL-7": (0.62, 0), "CL-9": (0.0, 1), "SAT_69B-4": (0.2, 0)}
 
 
 def test_duplicate_match_rows_keep_the_first(raw, spark):
     sources, evidence, match = raw
     twice = match.unionByName(match.withColumns({"ord": F.lit(5).cast("long"), "match_count": F.lit("9")}))
     out = consolidate.consolidate_catalog(catalog.entity_catalog(sources, evidence, twice), sources, evidence, twice)
-    assert out.count() == 2
-    assert out.where("entity_id = 'OFAC-01'").first()["match_count"] == 2
+    assert {r["entity_id"]: r["match_count"] for r in out.collect()} == {"CL-7": 4, "CL-9": 1, "SAT_69B-4": 0}
     assert consolidate.duplicate_matches(twice).first()["rows"] == 2
 
 
 def test_without_match_summary(raw):
     sources, evidence, _ = raw
     out = consolidate.consolidate_catalog(catalog.entity_catalog(sources, evidence), sources, evidence)
-    assert "is_suspicious_analyst" not in out.columns
+    assert "is_suspicious_analyst" not in out.columns and out.count() == 2
     assert out.agg(F.sum("match_count")).first()[0] == 0
 
 

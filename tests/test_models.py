@@ -23,8 +23,7 @@ def blobs():
     return np.vstack([rng.normal(c, 0.3, (40, 3)) for c in (0.0, 4.0, 9.0)] + [rng.uniform(-30, 40, (6, 3))])
 
 
-def test_quantile_by_histogram_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(stats, "SMALL_ROWS", 0)
+def test_quantile_by_histogram_is_exact(spark):
     rng = np.random.default_rng(0)
     values = np.concatenate([rng.exponential(2, 400), np.zeros(300), [1e9, -5.0]])
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
