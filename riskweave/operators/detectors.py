@@ -52,7 +52,21 @@ class Detector:
 
     def transform(self, points: DataFrame) -> DataFrame:
         """``(id, score, flag)``."""
-        return self.scores(points).withColumn("flag", self.flag(F.col("score")))
+        return self._flagged(self.scores(points))
+
+    def _flagged(self, scored: DataFrame) -> DataFrame:
+        return scored.withColumn("flag", self.flag(F.col("score")))
+
+    @classmethod
+    def fit_transform(cls, points: DataFrame, **options) -> tuple[Detector, DataFrame]:
+        """The fitted model and what it says of its own training points, scored once."""
+        model, scored = cls._fitted(points, **options)
+        return model, model._flagged(scored if scored is not None else model.scores(points))
+
+    @classmethod
+    def _fitted(cls, points: DataFrame, **options) -> tuple[Detector, DataFrame | None]:
+        """The model and, where fitting computes them anyway, the scores of ``points``."""
+        return cls.fit(points, **options), None
 
 
 # --- isolation forest -----------------------------------------------------------
@@ -117,14 +131,18 @@ class IsolationForest(Detector):
         self.trees, self.sample_rows, self.threshold = trees, sample_rows, threshold
 
     @classmethod
-    def fit(
+    def fit(cls, points: DataFrame, **options) -> IsolationForest:
+        return cls._fitted(points, **options)[0]
+
+    @classmethod
+    def _fitted(
         cls,
         points: DataFrame,
         contamination: float | str = CONTAMINATION,
         tree_count: int = 100,
         max_samples: int = 256,
         seed: int = SEED,
-    ) -> IsolationForest:
+    ) -> tuple[IsolationForest, DataFrame | None]:
         n = points.count()
         psi = max(1, min(max_samples, n))
         limit = int(math.ceil(math.log2(max(psi, 2))))
@@ -148,10 +166,11 @@ class IsolationForest(Detector):
 
         rows = sample.groupBy("tree").applyInPandas(grow, _TREE).orderBy("tree").collect()
         model = cls([r.asDict() for r in rows], psi, 0.5)
-        if contamination != "auto":
-            scored = materialise(model.scores(points), "forest")
-            model.threshold = exact_quantile(scored, "score", 1.0 - float(contamination))
-        return model
+        if contamination == "auto":
+            return model, None
+        scored = materialise(model.scores(points), "forest")
+        model.threshold = exact_quantile(scored, "score", 1.0 - float(contamination))
+        return model, scored
 
     def scores(self, points: DataFrame) -> DataFrame:
         forest = [
@@ -329,12 +348,16 @@ class KNNDistance(Detector):
         self.train, self.k, self.threshold = train, k, threshold
 
     @classmethod
-    def fit(cls, points: DataFrame, contamination: float = CONTAMINATION, k: int = 5) -> KNNDistance:
+    def fit(cls, points: DataFrame, **options) -> KNNDistance:
+        return cls._fitted(points, **options)[0]
+
+    @classmethod
+    def _fitted(cls, points: DataFrame, contamination: float = CONTAMINATION, k: int = 5) -> tuple[KNNDistance, DataFrame]:
         train = materialise(distinct_points(points, "id"), "knn-train")
         model = cls(train, k, math.inf)
-        scored = materialise(model._point_scores(train), "knn").join(train.select("id", "copies"), "id")
+        scored = materialise(model._point_scores(train), "knn").join(train, "id")
         model.threshold = exact_quantile(scored, "score", 1.0 - contamination, "copies")
-        return model
+        return model, _to_rows(points, scored)
 
     def _point_scores(self, queries: DataFrame) -> DataFrame:
         found = nearest(queries.select("id", "vec"), self.train, self.k)
@@ -356,7 +379,10 @@ class KNNDistance(Detector):
 def _spread(points: DataFrame, score_points) -> DataFrame:
     """Score each distinct vector once and hand the score to all its rows."""
     places = materialise(distinct_points(points, "id"), "places")
-    scored = materialise(score_points(places), "scored").join(places.select("id", "vec"), "id")
+    return _to_rows(points, materialise(score_points(places), "scored").join(places.select("id", "vec"), "id"))
+
+
+def _to_rows(points: DataFrame, scored: DataFrame) -> DataFrame:
     return points.join(scored.select("vec", "score"), "vec").select("id", "score")
 
 
@@ -374,7 +400,13 @@ class LocalOutlierFactor(Detector):
         self.train, self.k, self.threshold = train, k, threshold
 
     @classmethod
-    def fit(cls, points: DataFrame, contamination: float = CONTAMINATION, k: int = 20) -> LocalOutlierFactor:
+    def fit(cls, points: DataFrame, **options) -> LocalOutlierFactor:
+        return cls._fitted(points, **options)[0]
+
+    @classmethod
+    def _fitted(
+        cls, points: DataFrame, contamination: float = CONTAMINATION, k: int = 20
+    ) -> tuple[LocalOutlierFactor, DataFrame]:
         places = materialise(distinct_points(points, "id"), "lof-train")
         n = places.agg(F.sum("copies")).first()[0]
         k = max(1, min(k, n - 1))
@@ -391,7 +423,10 @@ class LocalOutlierFactor(Detector):
         model = cls(train, k, math.inf)
         factors = model._ratio(near, density).join(places.select("id", "copies"), "id")
         model.threshold = exact_quantile(materialise(factors, "lof-f"), "score", 1.0 - contamination, "copies")
-        return model
+        # scored as if new: the same neighbours, the point itself among them
+        again = take_copies(found, k)
+        scored = model._ratio(again, local_density(again, train.select("id", "k_distance")))
+        return model, _to_rows(points, scored.join(places.select("id", "vec"), "id"))
 
     def _ratio(self, near: DataFrame, density: DataFrame) -> DataFrame:
         other = self.train.select(F.col("id").alias("neighbour_id"), F.col("density").alias("other"))

@@ -28,6 +28,18 @@ def key_members(evidence: DataFrame, key: str) -> DataFrame:
     )
 
 
+def linked_entities(evidence: DataFrame) -> DataFrame:
+    """Ids with any physical edge: those of a key with two members or more. No pair is made."""
+    evidence = with_row_order(evidence)
+    found = None
+    for column in (KEY_COLUMNS[r] for r in _present_keys(evidence)):
+        members = key_members(evidence, column).select("key", "entity_id")
+        shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        ids = members.join(shared.select("key"), "key", "left_semi").select("entity_id")
+        found = ids if found is None else found.unionByName(ids)
+    return found.distinct()
+
+
 def _present_keys(evidence: DataFrame) -> list[str]:
     return [r for r, c in KEY_COLUMNS.items() if c in evidence.columns]
 
@@ -161,10 +173,14 @@ def inside_catalog(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def edge_ends(edges: DataFrame) -> DataFrame:
+    """Ids at either end of an edge."""
+    return edges.select(F.explode(F.array("source", "target")).alias("entity_id")).distinct()
+
+
 def graph_nodes(catalog: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids of all graph nodes: the catalog and every edge end."""
-    ends = edges.select(F.explode(F.array("source", "target")).alias("entity_id"))
-    return catalog.select("entity_id").unionByName(ends).distinct()
+    return catalog.select("entity_id").unionByName(edge_ends(edges)).distinct()
 
 
 def node_degree(catalog: DataFrame, edges: DataFrame) -> DataFrame:

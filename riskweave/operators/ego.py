@@ -42,15 +42,14 @@ def ego_network(edges: DataFrame, centres: DataFrame | None = None, top: int = M
 
 
 def priority_entities(
-    nodes: DataFrame, edges: DataFrame, focus: DataFrame | None = None, top: int = MAX_ENTITIES
+    nodes: DataFrame, connected: DataFrame, focus: DataFrame | None = None, top: int = MAX_ENTITIES
 ) -> DataFrame:
-    """Entities to look at first, among those with any connection.
+    """Entities to look at first, among the ``connected(entity_id)`` ones.
 
     With a focus list the caller's order rules and nothing is cut; without one
     the label and then PageRank rank the entities and the first ``top`` stay.
     """
-    ends = edges.select(F.explode(F.array("source", "target")).alias("entity_id"))
-    linked = nodes.where(F.col("entity_id").isNotNull()).join(ends, "entity_id", "left_semi")
+    linked = nodes.where(F.col("entity_id").isNotNull()).join(connected, "entity_id", "left_semi")
     if focus is not None:
         wanted = focus.groupBy("entity_id").agg(F.min("ord").alias("_at"))
         return linked.join(wanted, "entity_id").orderBy("_at").drop("_at")

@@ -86,7 +86,8 @@ def ego_top30(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def priority_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ego.priority_entities(consolidated(spark, sf_dir), _edges(spark, sf_dir)).select(
+    linked = E.linked_entities(roles.evidence(spark, sf_dir))
+    return ego.priority_entities(consolidated(spark, sf_dir), linked).select(
         "entity_id", "entity_name", "is_suspicious_analyst"
     )
 

@@ -41,27 +41,30 @@ def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = materialise(feature_points(spark, sf_dir), "points")
-    return _scored(detectors.KNNDistance.fit(points).transform(points))
+    return _scored(detectors.KNNDistance.fit_transform(points)[1])
 
 
 def lof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = materialise(feature_points(spark, sf_dir), "points")
-    return _scored(detectors.LocalOutlierFactor.fit(points).transform(points))
+    out = detectors.LocalOutlierFactor.fit_transform(points)[1]
+    # among many equal points factors reach 10^10, where six decimals are below a double's precision
+    score = F.col("score")
+    return _scored(out.withColumn("score", F.when(score >= 1e6, F.round(score, -4)).otherwise(score)))
 
 
 def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = materialise(feature_points(spark, sf_dir), "points")
-    return _scored(detectors.IsolationForest.fit(points).transform(points))
+    return _scored(detectors.IsolationForest.fit_transform(points)[1])
 
 
 def one_class_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = materialise(feature_points(spark, sf_dir), "points")
-    return _scored(detectors.OneClassSVM.fit(points).transform(points))
+    return _scored(detectors.OneClassSVM.fit_transform(points)[1])
 
 
 def robust_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = materialise(feature_points(spark, sf_dir), "points")
-    return _scored(detectors.RobustCovariance.fit(points).transform(points))
+    return _scored(detectors.RobustCovariance.fit_transform(points)[1])
 
 
 def embedding_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +198,7 @@ ORACLES = {
   scored AS (SELECT n.id, sum(o.lrd * taken) / sum(taken) / any_value(m.lrd) AS score
             FROM near_self n JOIN dens o ON o.id = n.nid JOIN dens_self m ON m.id = n.id GROUP BY 1)"""
     + _SPREAD
-    + """ SELECT entity_id, round(score, 6) AS score,
+    + """ SELECT entity_id, CASE WHEN score >= 1e6 THEN round(score, -4) ELSE round(score, 6) END AS score,
         CASE WHEN score > (SELECT quantile_cont(t.f, 0.95) FROM feat f
             JOIN places p ON p.x0 = f.x0 AND p.x1 = f.x1 AND p.x2 = f.x2 JOIN train t ON t.id = p.id)
           THEN 1 ELSE 0 END AS flag FROM spread""",

@@ -184,13 +184,13 @@ def detect_outliers(spark: SparkSession, ctx: RunContext, entities: DataFrame) -
     for name, kind in detectors.DETECTORS.items():
         t0 = time.time()
         if ctx.mode == "train":
-            model = kind.fit(points)
+            model, scored = kind.fit_transform(points)
             model.save(spark, ctx.model(DETECTOR_MODELS[name]))
             spent = time.time() - t0
         else:
             model = kind.load(spark, ctx.model(DETECTOR_MODELS[name]))
-            spent = None
-        found = materialise(model.transform(points), "found")
+            scored, spent = model.transform(points), None
+        found = materialise(scored, "found")
         spent = time.time() - t0 if spent is None else spent
         if name == "IsolationForest":
             model.save(spark, ctx.audit_copy("best_anomaly_model"))
@@ -287,7 +287,7 @@ def report_tables(
     out["top_communities"] = ctx.write(communities.ordered_communities(summary).limit(5), "top_communities")
     out["top_chains"] = ctx.write(chains.top_chains(found["suspicious_chains"]), "top_chains")
     out["top_loops"] = ctx.write(cycles.ordered_cycles(found["suspicious_loops"]).limit(5), "top_loops")
-    centres = materialise(ego.priority_entities(entities, links, focus), "centres")
+    centres = materialise(ego.priority_entities(entities, edges.edge_ends(links), focus), "centres")
     egos = materialise(ego.ego_network(links, centres), "egos")
     out["ego_networks"] = ctx.write(egos, "ego_networks")
     shown = edges.inside_catalog(links, entities).join(
