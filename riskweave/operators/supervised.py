@@ -56,13 +56,15 @@ def stratified_split(
 
     The cut of each label is an order statistic of the hash, found by histogram,
     so no label's rows are sorted or gathered.  ``order`` replaces the hash and
-    must be unique within a label.
+    must be unique within a label.  Rows without a label get no mark: they are in neither part.
     """
     ticket = order if order is not None else F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED)), F.lit(1 << 52))
     marked = df.withColumn("_t", ticket.cast("double"))
     counts = {r[label]: r["n"] for r in marked.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     inside = F.lit(False)
     for value, n in counts.items():
+        if value is None:
+            continue
         keep = int(math.floor(share * n + 1e-9))
         if keep:
             cut = value_at_rank(marked.where(F.col(label) == value), "_t", keep - 1)

@@ -264,6 +264,8 @@ def test_supervised_models_learn_and_reload(spark, tmp_path):
     split = supervised.stratified_split(df, "label", "id").groupBy("label").agg(
         F.count_if("is_train").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     assert all(r["t"] == math.floor(0.7 * r["n"]) for r in split)
+    gaps = df.withColumn("label", F.when(F.col("id") > "p150", F.col("label")))
+    assert supervised.stratified_split(gaps, "label", "id").where("label IS NULL AND is_train").count() == 0
     names = ["baseline_5_svm", "baseline_6_knn"]
     table, models = supervised.compare_models(df, names)
     rows = {r["Modelo"]: r for r in table.collect()}
