@@ -14,6 +14,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,6 +28,8 @@ from riskweave.session import materialise
 #: Chance that banding misses a pair exactly at the threshold.
 MISS = 1e-6
 MAX_BANDS = 48
+#: Texts on either side of a block of comparisons.
+BLOCK_ROWS = 256
 
 
 def banding(percent: int, miss: float = MISS, max_bands: int = MAX_BANDS) -> tuple[int, int]:
@@ -43,26 +46,24 @@ def banding(percent: int, miss: float = MISS, max_bands: int = MAX_BANDS) -> tup
 
 def similarity_sketch(elements: np.ndarray, bins: int) -> np.ndarray:
     """The filled bins of a non-empty set of 64-bit hashes."""
-    low, width = np.uint64(32), np.uint64(bins)
-    filled = np.full(bins, np.uint64(2**64 - 1))
+    # bits of a packed value: round above hash, so the earliest round wins
+    low, width, bits = np.uint64(32), np.uint64(bins), np.uint64(40)
+    full = np.uint64(2**64 - 1)
+    filled = np.full(bins, full)
     done, n = 0, elements.size
     with np.errstate(over="ignore"):
-        while done < bins and (filled == np.uint64(2**64 - 1)).any():
-            # several rounds at once: the round is part of the value, so the earliest wins
-            rounds = np.arange(done, min(bins, done + max(1, 3 * bins // n)), dtype=np.uint64)
+        while done < bins and (filled == full).any():
+            # about as many rounds at once as usually fill all bins; later rounds never change a full one
+            rounds = np.arange(done, min(bins, done + max(1, 7 * bins // n)), dtype=np.uint64)
             h = mix(elements[None, :] ^ mix(rounds + np.uint64(1))[:, None])
             at = ((h >> low) * width) >> low
-            value = (rounds[:, None] << low) | (h & np.uint64(0xFFFFFFFF))
-            order = np.lexsort((value.ravel(), at.ravel()))
-            sorted_at = at.ravel()[order]
-            first = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
-            where = sorted_at[first].astype(np.int64)
-            filled[where] = np.minimum(filled[where], value.ravel()[order[first]])
+            value = (rounds[:, None] << bits) | (h & np.uint64(0xFFFFFFFF))
+            np.minimum.at(filled, at.ravel().astype(np.int64), value.ravel())
             done += rounds.size
-        for b in np.flatnonzero(filled == np.uint64(2**64 - 1)):
+        for b in np.flatnonzero(filled == full):
             r = np.uint64(bins + int(b))
             h = mix(elements ^ mix(np.array([r + np.uint64(1)], dtype=np.uint64)))
-            filled[b] = (r << low) | (h & np.uint64(0xFFFFFFFF)).min()
+            filled[b] = (r << bits) | (h & np.uint64(0xFFFFFFFF)).min()
     return filled
 
 
@@ -117,6 +118,71 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return rows.select("b", "a", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
+def _links_apart(members: DataFrame, bodies: DataFrame, size: int, percent: int, bins: int) -> DataFrame:
+    """Links between the components that meet in a cluster.
+
+    ``members`` is ``(no, comp, cluster)``.  Whatever is outside the largest
+    component of its cluster meets all other members, in blocks of BLOCK_ROWS by
+    BLOCK_ROWS texts, so a cluster of any size is spread over many tasks.  The
+    largest component is not compared within itself, and a block reports only
+    links that join components it has not joined yet.
+    """
+    per = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
+    whole = per.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    placed = members.join(whole, "cluster").join(bodies, "no").select(
+        "cluster", "no", "comp", "main", "text",
+        F.ceil(F.col("all") / BLOCK_ROWS).cast("int").alias("mb"),
+        F.ceil((F.col("all") - F.col("most")) / BLOCK_ROWS).cast("int").alias("ob"),
+    )
+    placed = materialise(placed, "placed")
+    own = lambda blocks: F.pmod(F.xxhash64("no"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    left = placed.where("comp <> main").withColumn("o", own("ob")).withColumn("m", every("mb"))
+    right = placed.withColumn("m", own("mb")).withColumn("o", every("ob"))
+    columns = ["cluster", "o", "m", "no", "comp", "main", "text"]
+    both = left.select(*columns, F.lit(True).alias("left")).unionByName(right.select(*columns, F.lit(False).alias("left")))
+    share = percent / 100
+    # six deviations below the threshold
+    least = bins * share - 6 * math.sqrt(bins * share * (1 - share)) - 1
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.drop_duplicates("no").set_index("no")
+        sets = {no: shingle_set(text, size) for no, text in first["text"].items()}
+        sketches = {no: similarity_sketch(x, bins) for no, x in sets.items()}
+        here, there = pdf[pdf["left"]], pdf[~pdf["left"]]
+        out: list[tuple[int, int]] = []
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        if len(here) and len(there):
+            no, comp = there["no"].to_numpy(), there["comp"].to_numpy()
+            is_main = comp == there["main"].to_numpy()
+            n = np.array([sets[x].size for x in no])
+            grid = np.stack([sketches[x] for x in no])
+            for a, own_comp in zip(here["no"], here["comp"]):
+                x = sets[a]
+                # two outside the largest component meet twice, in either order: once is enough
+                open_ = (comp != own_comp) & (is_main | (no > a)) & (100 * np.minimum(n, x.size) >= percent * np.maximum(n, x.size))
+                near = np.flatnonzero(open_)
+                near = near[(grid[near] == sketches[a]).sum(axis=1) >= least]
+                for k in near:
+                    # a link between components that are joined by now adds nothing
+                    mine, other = root(own_comp), root(comp[k])
+                    if mine == other:
+                        continue
+                    shared = np.intersect1d(x, sets[no[k]], assume_unique=True).size
+                    if 100 * shared >= percent * (x.size + n[k] - shared):
+                        joined[mine] = other
+                        out.append((int(a), int(no[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return both.groupBy("cluster", "o", "m").applyInPandas(meet, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -135,9 +201,10 @@ def near_duplicates(
     are not read; ``k1, k2`` are the hash of the text, to join the decisions back.
 
     Equal sets are one node.  First each node meets the least node of one of its
-    buckets; after that only bucket mates of different components meet, so a
-    group of near copies takes linear work, and every pair in a bucket is either
-    connected or compared on full sets.
+    buckets, which connects most near copies in linear work.  Bucket mates that
+    are still in different components are then compared with each other in
+    blocks, on sketches and, where these don't rule it out, on full sets; only
+    links leave a task.
     """
     bands, rows = banding(percent, miss)
     texts = with_text_key(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), F.col("text"))
@@ -152,7 +219,7 @@ def near_duplicates(
         "nodes",
     )
 
-    placed = nodes.select("no", "n", F.explode("keys").alias("key"))
+    placed = nodes.select("no", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.min("no").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = materialise(placed.join(shared.select("key", "head"), "key"), "buckets")
     needed = buckets.select("no").distinct().join(nodes.select("no", "k1", "k2"), "no")
@@ -167,28 +234,16 @@ def near_duplicates(
     links = materialise(_linked(first, bodies, size, percent), "first-links")
     root = connected_components(links)
 
-    labelled = (
-        buckets.join(root.withColumnRenamed("v", "no"), "no", "left").select("key", "no", "n", F.coalesce("root", "no").alias("comp"))
-    )
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    open_rows = materialise(labelled.join(mixed.select("key"), "key"), "mixed-buckets")
-    per = open_rows.groupBy("key", "comp").count()
-    main = per.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    # those outside the largest component of a bucket meet all its other members
-    others = open_rows.join(main, "key").where("comp <> main").select(
-        "key", F.col("no").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")
-    )
-    mates = open_rows.select("key", F.col("no").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    second = (
-        others.join(mates, "key")
-        .where("ca <> cb")
-        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
+    # bucket mates that are still apart: compared within the groups that their buckets form
+    comp = root.withColumnRenamed("v", "no")
+    labelled = buckets.join(comp, "no", "left").select("key", "no", F.coalesce("root", "no").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("no").alias("hub")).where("c0 <> c1")
+    apart = materialise(labelled.join(mixed.select("key", "hub"), "key").select("no", "comp", "hub").distinct(), "apart")
+    cluster = connected_components(apart.select(F.col("no").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("v", "no")
+    members = apart.select("no", "comp").distinct().join(cluster, "no", "left").select(
+        "no", "comp", F.coalesce("root", "no").alias("cluster")
     )
-    second = materialise(second, "second-pairs")
-    more = materialise(_linked(second, bodies, size, percent), "second-links")
+    more = materialise(_links_apart(materialise(members, "members"), bodies, size, percent, bands * rows), "second-links")
     final = connected_components(links.union(more))
 
     named = nodes.select("no", "node", "least_id").join(final.withColumnRenamed("v", "no"), "no", "left").withColumn(
