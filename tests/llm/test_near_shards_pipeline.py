@@ -8,9 +8,9 @@ import pytest
 
 from riskweave.llm.components import connected_components
 from riskweave.llm.near_dedup import banding, near_duplicates, similarity_sketch
-from riskweave.llm.passages import common_passages, compact_windows, repeated_passages
+from riskweave.llm.passages import _Text, anchors, common_passages, compact_windows, repeated_passages
 from riskweave.llm.sharding import RowPermutation, shard_documents
-from riskweave.llm.shingles import word_hashes
+from riskweave.llm.shingles import mix
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,7 +100,7 @@ def test_windows_against_loop():
     rng = np.random.default_rng(1)
     for _ in range(200):
         n, width = int(rng.integers(1, 60)), int(rng.integers(1, 12))
-        v = rng.integers(0, 30, n).astype(np.uint64)
+        v = mix(rng.integers(0, 30, n).astype(np.uint64))
         want = set()
         for i in range(n):
             a = i
@@ -117,7 +117,8 @@ def test_windows_against_loop():
 def test_common_passages_over_edits():
     words = [f"w{i}" for i in range(200)]
     other = ["x"] * 7 + words[20:60] + ["new", "words"] + words[61:140] + ["y"] * 9
-    a, b = word_hashes(" ".join(words)), word_hashes(" ".join(other))
+    a, b = _Text(" ".join(words), 5, 46, 4), _Text(" ".join(other), 5, 46, 4)
+    assert common_passages(a, b, anchors(a, b), 5, 50, 80) == [(20, 140, 7, 128)]
     assert common_passages(a, b, [(30, 17)], 5, 50, 80) == [(20, 140, 7, 128)]
     assert common_passages(a, b, [(30, 17)], 5, 130, 80) == []
     assert common_passages(a, b, [(3, 4)], 5, 50, 80) == []  # no common token there
