@@ -321,14 +321,12 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train_labeller(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES) -> BlockLabeller:
-    """Fit on the ``train_pages`` pages of least hash: a bounded sample, chosen the same way at any size."""
-    sample = (
-        pages.where(F.col(html_col).isNotNull())
-        .select(F.xxhash64(F.lit(3), html_col).alias("order"), F.col(html_col).cast("string").alias("html"))
-        .orderBy("order", "html")
-        .limit(train_pages)
-        .collect()
-    )
+    """Fit on ``train_pages`` pages of least hash, at most: a bounded sample, chosen the same way at any size."""
+    known = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(F.lit(3), html_col).alias("order"), F.col(html_col).cast("string").alias("html"))
+    span = 1 << 30
+    # half as many again by hash, so that few more than the sample leave the tasks
+    share = min(1.0, 1.5 * train_pages / max(1, known.count()))
+    sample = known.where(F.pmod("order", F.lit(span)) < F.lit(int(share * span) + 1)).orderBy(F.pmod("order", F.lit(span)), "html").limit(train_pages).collect()
     parsed = [b for r in sample if (b := blocks_of(r["html"]))]
     rng = np.random.default_rng(1)
     seen = []
