@@ -1,3 +1,5 @@
+"""Documents that the tests of the corpus operators share."""
+
 from __future__ import annotations
 
 import pytest

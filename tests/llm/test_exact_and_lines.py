@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from corpus_documents import empty, make, odd  # noqa: F401
 from riskweave.llm.exact_dedup import MAX_DEPTH, exact_dedup, split_directory
 from riskweave.llm.line_dedup import drop_repeated_lines, repeated_lines
 

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_documents import empty, make, odd  # noqa: F401
 from riskweave.llm.decontaminate import covered, decontaminate
 from riskweave.llm.secret_scan import RULES, Rule, scan_secrets, trigram_query
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from corpus_documents import empty, make, odd  # noqa: F401
 from riskweave.llm.components import connected_components
 from riskweave.llm.near_dedup import banding, near_duplicates, similarity_sketch
 from riskweave.llm.passages import _Text, anchors, common_passages, compact_windows, repeated_passages

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from corpus_documents import empty, make, odd  # noqa: F401
 from riskweave.llm.bpe import Coder, Transducer, Vocabulary, encode_decode
 from riskweave.llm.html_text import BlockLabeller, Block, FEATURES, blocks_of, extract_main_text, train_labeller, weak_labels
 from riskweave.llm.langid import UNKNOWN, fit_ftrl, fit_temperature, held_out, predict_language, train_language_model
