@@ -130,9 +130,8 @@ def decontaminate(
         )
     )
     found = materialise(found, "leak-candidates")
-    joined = rows.join(found, ["k1", "k2"], "left").select(
-        "row", "doc_id", words_of(F.col("text")).alias("words"), "met"
-    )
+    # the words are split before the join: above it, a filter on the result would split them anew in every comparison
+    joined = rows.select("row", "doc_id", "k1", "k2", words_of(F.col("text")).alias("words")).join(found, ["k1", "k2"], "left")
     words = F.col("words")
 
     def equal_windows(c: Column) -> Column:
