@@ -125,6 +125,19 @@ def test_common_passages_over_edits():
     assert common_passages(a, b, [(3, 4)], 5, 50, 80) == []  # no common token there
 
 
+def passages_of(x, y):
+    a, b = _Text(" ".join(x), 5, 46, 4), _Text(" ".join(y), 5, 46, 4)
+    return common_passages(a, b, anchors(a, b), 5, 50, 80)
+
+
+def test_common_passages_beside_repeated_phrases():
+    """A chain that only repeats lift over the threshold gives way to the exact runs inside it."""
+    phrase, tail = [f"p{i % 5}" for i in range(100)], [f"t{i}" for i in range(60)]
+    x, y = phrase + [f"x{i}" for i in range(12)] + tail, phrase + [f"y{i}" for i in range(12)] + tail
+    got = passages_of(x, y)
+    assert (112, 172, 112, 172) in got and (0, 100, 0, 100) in got
+
+
 def test_passages(make, odd, empty):
     rng = random.Random(8)
     fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
