@@ -138,6 +138,27 @@ def test_common_passages_beside_repeated_phrases():
     assert (112, 172, 112, 172) in got and (0, 100, 0, 100) in got
 
 
+def test_common_passages_over_a_long_edit():
+    words = [f"w{i}" for i in range(98)]
+    assert passages_of(words, words[:49] + [f"n{i}" for i in range(13)] + words[49:]) == [(0, 98, 0, 111)]
+    words = [f"w{i}" for i in range(600)]
+    assert passages_of(words, words[:300] + [f"n{i}" for i in range(100)] + words[300:]) == [(0, 600, 0, 700)]
+    # 70 new words in 300 are too many: two passages
+    got = passages_of(words[:300], words[:150] + [f"n{i}" for i in range(120)] + words[150:300])
+    assert sorted(got) == [(0, 150, 0, 150), (150, 300, 270, 420)]
+
+
+def test_common_passages_at_later_places():
+    """A centre's second place in one text meets the second one in the other."""
+    common, mine = [f"c{i}" for i in range(5)], [f"m{i}" for i in range(60)]
+    x = [f"x{i}" for i in range(60)] + mine[:30] + common + mine[30:]
+    y = [f"y{i}" for i in range(60)] + mine[:30] + common + mine[30:]
+    x, y = x[:30] + common + x[30:], y[:30] + common + y[30:]
+    a, b = _Text(" ".join(x), 5, 46, 4), _Text(" ".join(y), 5, 46, 4)
+    places = [(np.array([30, 95]), np.array([30, 95]))]
+    assert common_passages(a, b, places, 5, 50, 80) == [(65, 130, 65, 130)]
+
+
 def test_passages(make, odd, empty):
     rng = random.Random(8)
     fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
