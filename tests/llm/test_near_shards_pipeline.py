@@ -5,11 +5,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from corpus_documents import empty, make, odd  # noqa: F401
 from riskweave.llm.components import connected_components
 from riskweave.llm.near_dedup import banding, near_duplicates, similarity_sketch
-from riskweave.llm.passages import _Text, anchors, common_passages, compact_windows, repeated_passages
+from riskweave.llm.passages import _least_distinct, _Text, anchors, common_passages, compact_windows, repeated_passages
 from riskweave.llm.sharding import RowPermutation, shard_documents
 from riskweave.llm.shingles import mix
 
@@ -159,6 +160,49 @@ def test_common_passages_at_later_places():
     assert common_passages(a, b, places, 5, 50, 80) == [(65, 130, 65, 130)]
 
 
+def test_least_distinct_against_loop():
+    rng = random.Random(4)
+    for _ in range(100):
+        t = _Text(" ".join(f"w{rng.randrange(12)}" for _ in range(rng.randint(8, 60))), 2, 6, 1)
+        want = min(len(set(t.tokens[i : i + 6].tolist())) for i in range(t.tokens.size - 5))
+        assert _least_distinct(t, 6) == want
+
+
+def window_keys(text):
+    """Window hashes of a text, with the word where each stands first."""
+    tokens, out = _Text(text, 5, 46, 0).tokens, {}
+    for seed in mix(np.arange(1, 5, dtype=np.uint64)):
+        values = mix(tokens ^ seed)
+        for c in compact_windows(values, 46)[0].tolist():
+            out.setdefault(int(values[c]), c)
+    return out
+
+
+def test_passages_apart_from_the_head(make, monkeypatch):
+    """Each window hash that two texts share with a passage has a text without it that comes first."""
+    monkeypatch.setattr("riskweave.llm.passages.BLOCK_ROWS", 3)
+    rng = random.Random(5)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    first = lambda text: int(np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).view(np.int64))
+    shared, two = fresh(60), []
+    while len(two) < 2:
+        text = " ".join(fresh(20 + len(two)) + shared + fresh(30))
+        if first(text) > 0:
+            two.append(text)
+    b, c = (window_keys(x) for x in two)
+    rows = [*enumerate(two)]
+    for key in b.keys() & c.keys():
+        at = b[key]
+        while True:
+            text = " ".join(fresh(60) + two[0].split()[at : at + 5] + fresh(60))
+            if first(text) < 0 and key in window_keys(text):
+                break
+        rows.append((len(rows), text))
+    assert len(rows) > 5
+    got = {(r.doc_id, r.start, r.end, r.partner_id) for r in repeated_passages(make(rows)).collect()}
+    assert got == {(0, 20, 80, 1), (1, 21, 81, 0)}
+
+
 def test_passages(make, odd, empty):
     rng = random.Random(8)
     fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
