@@ -14,7 +14,7 @@ from riskweave.llm.html_text import extract_main_text, train_labeller
 from riskweave.llm.langid import held_out, predict_language, train_language_model
 from riskweave.llm.line_dedup import drop_repeated_lines
 from riskweave.llm.near_dedup import near_duplicates
-from riskweave.llm.passages import repeated_passages
+from riskweave.llm.passages import linked_documents, passage_links, passages_of_documents
 from riskweave.llm.secret_scan import RULES, scan_secrets, span_text
 from riskweave.llm.sharding import shard_documents
 
@@ -71,10 +71,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document with a repeated passage: its passages, how many, and the least partner."""
-    found = repeated_passages(table(spark, sf_dir, "documents"))
+    """One row per document with a repeated passage: its passages, how many, the least partner, its component and verified links."""
+    return documents_with_passages(table(spark, sf_dir, "documents"))
+
+
+def documents_with_passages(docs: DataFrame) -> DataFrame:
+    links = passage_links(docs)
     span = F.struct("start", "end")
-    return found.groupBy("doc_id").agg(
+    spans = passages_of_documents(links).groupBy("doc_id").agg(
         F.countDistinct(span).alias("n_passages"),
         F.min("partner_id").alias("partner_id"),
         F.max(F.col("end") - F.col("start")).cast("long").alias("longest"),
@@ -82,6 +86,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.transform(F.array_sort(F.collect_set(span)), lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","
         ).alias("passages"),
     )
+    linked = linked_documents(links).withColumnRenamed("doc_id", "id")
+    return spans.join(linked, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from corpus_documents import empty, make, odd  # noqa: F401
 from riskweave.llm.components import connected_components
 from riskweave.llm.near_dedup import banding, near_duplicates, similarity_sketch
 from riskweave.llm.passages import _least_distinct, _Text, anchors, common_passages, compact_windows, repeated_passages
+from riskweave.llm.queries import documents_with_passages
 from riskweave.llm.sharding import RowPermutation, shard_documents
 from riskweave.llm.shingles import mix
 
@@ -203,6 +204,20 @@ def test_passages_apart_from_the_head(make, monkeypatch):
     assert got == {(0, 20, 80, 1), (1, 21, 81, 0)}
 
 
+def test_links_of_documents(make):
+    """A document with passages of unrelated ones is linked with each; copies count, an id's absence does no harm."""
+    own = iter(range(10**6))
+    fresh = lambda n: " ".join(f"u{next(own)}" for _ in range(n))
+    p, q, r = fresh(60), fresh(70), fresh(80)
+    twice = f"{fresh(20)} {q}"
+    rows = [
+        (10, f"{fresh(9)} {p} {fresh(30)} {q} {fresh(30)}"), (4, f"{p} {fresh(40)}"), (7, twice), (8, twice),
+        (1, r), (None, f"{fresh(5)} {r}"), (2, fresh(90)), (3, "short"), (5, "short"),
+    ]
+    got = {x.doc_id: (x.component_id, x.n_links, x.n_passages) for x in documents_with_passages(make(rows)).collect()}
+    assert got == {10: (4, 3, 2), 4: (4, 1, 1), 7: (4, 2, 2), 8: (4, 2, 2), 1: (1, 1, 1), None: (1, 1, 1)}
+
+
 def test_passages(make, odd, empty):
     rng = random.Random(8)
     fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
