@@ -33,6 +33,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 SILENT = frozenset("script style noscript template svg iframe object title textarea select".split())
+#: Of the silent elements, those whose content is no markup: without an end tag it goes to the end of the page.
+RAW = frozenset("script style iframe title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the first kind ends an open element of the second.
 CLOSES = {
@@ -40,8 +42,10 @@ CLOSES = {
     "th": {"td", "th", "p"}, "option": {"option"},
 } | {t: {"p"} for t in "p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside nav footer header form main blockquote pre hr figure fieldset".split()}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)|[^<]+|<", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: An unquoted value takes the slash that ends it.
+_VALUE_SLASH = re.compile(r"=\s*[^\s\"'>]+/\Z")
 _WHITE = re.compile(r"\s+")
 _PART = re.compile(r"[^a-zA-Z0-9]+")
 
@@ -101,9 +105,12 @@ def blocks_of(page: str | None) -> list[Block]:
                     del stack[i:]
                     break
             continue
+        if tag == "svg" and m[3].endswith("/") and not _VALUE_SLASH.search(m[3]):
+            continue
         if tag in SILENT:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            if close or tag in RAW:
+                at = close.end() if close else end
             continue
         if tag in VOID:
             if tag == "br":

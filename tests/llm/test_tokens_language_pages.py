@@ -129,6 +129,16 @@ def test_blocks():
     assert [b.text for b in blocks_of("<p>unclosed <b>x")] == ["unclosed x"]
 
 
+def test_blocks_after_odd_tags():
+    text = lambda page: " ".join(b.text for b in blocks_of(page))
+    assert text('<p>a<svg width="5" />b<p>c<svg/>d <svg>e</svg>f') == "a b c d f"
+    assert text("<p>a<svg class=x/>b</svg>c") == "a c"
+    assert text("<p>a<object>b<p>c") == "a b c" and text("<p>a<select>b") == "a b"
+    assert text("<p>a<script>var b") == "a"
+    assert text("<p title=it's>a<p>b's <b class='x>y'>c</b>") == "a b's c"
+    assert text('<p title = "x>y">a<p title="open>b') == "a b"
+
+
 def test_gradients_of_the_labeller():
     rng = np.random.default_rng(0)
     net = BlockLabeller(9)
