@@ -110,9 +110,118 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM documents LEFT JOIN per USING (doc_id)
 """
 
+#: CRC-32 of ``k`` byte by byte, with its table made from the polynomial; ids are ASCII.
+_CRC_TABLE = """
+SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS tab
+FROM (SELECT unnest(range(256)) AS n)"""
+_CRC = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, len(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+def _turn(state: str, cost: str, edit: str, turn: str | None = None) -> str:
+    """The best of a state (cost, audit, output) after one more edit."""
+    out = f"{state}.o" if turn is None else f"CASE WHEN {state}.o = '' THEN {turn} ELSE {state}.o || chr(10) || {turn} END"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'o': {out}}}"
+
+
+def _cheapest(*states: str) -> str:
+    return f"list_sort([{', '.join(states)}])[1]"
+
+
+_NEVER = 1_000_000_000
+_KEPT = "role || ':' || text"
+_ROW = "CASE WHEN fault IN (1, 2) THEN {never} WHEN fault = 3 THEN {cost} + 3 ELSE {cost} END".replace("{never}", str(_NEVER))
+_INI = "CASE WHEN ini = '{ini}' THEN 0 ELSE {never} END".replace("{never}", str(_NEVER))
+
+
+def _keep(state: str, ini: str) -> str:
+    return _turn(state, f"{_ROW.format(cost=0)} + {_INI.format(ini=ini)}", "K", _KEPT)
+
+
+def _rerole(state: str, role: str) -> str:
+    return _turn(state, _ROW.format(cost=3), "R", f"'{role}:' || text")
+
+
+def _insert(state: str, role: str) -> str:
+    return _turn(state, "3", "I", f"'{role}:'")
+
+
+def _state(cost: int, audit: str = "''", out: str = "''") -> str:
+    return f"{{'c': {cost}::BIGINT, 'a': {audit}::VARCHAR, 'o': {out}::VARCHAR}}"
+
+
+REPAIR = f"""
+WITH RECURSIVE crc AS MATERIALIZED ({_CRC_TABLE}),
+read AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+  FROM conversations
+),
+kinds AS (SELECT read.*, {_CRC} % 20 AS kind FROM read, crc),
+spoilt AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0
+),
+marked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth,
+         rtrim(text, {_WHITE}) AS bare, left(role, 1) AS ini
+  FROM spoilt
+),
+faulty AS (
+  SELECT conv_id, turn, pos, role, text, ini, lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+         CASE WHEN bare = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+  FROM marked
+),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+),
+steps AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, {_state(0)} AS st, {_state(_NEVER)} AS ss,
+         {_state(3, "'I'", "'user:'")} AS su, {_state(6, "'II'", "'user:'||chr(10)||'assistant:'")} AS sa
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, pos, st, ss, su, {_cheapest("sa", _insert("su", "assistant"))} AS sa FROM (
+    SELECT conv_id, pos, st, ss,
+           {_cheapest("su", _insert("st", "user"), _insert("ss", "user"), _insert("sa", "user"))} AS su, sa
+    FROM (
+      SELECT s.conv_id, f.pos, {_turn("st", "4", "D")} AS st,
+             {_cheapest(_turn("ss", "4", "D"), _keep("st", "s"))} AS ss,
+             {_cheapest(_turn("su", "4", "D"), *(_keep(x, "u") for x in ("st", "ss", "sa")), *(_rerole(x, "user") for x in ("st", "ss", "sa")))} AS su,
+             {_cheapest(_turn("sa", "4", "D"), _keep("su", "a"), _rerole("su", "assistant"))} AS sa
+      FROM steps s JOIN faulty f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND f.pos = s.pos + 1
+    )
+  )
+),
+ended AS (SELECT conv_id, pos, {_cheapest("st", "sa")} AS best FROM steps)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(best.o) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+WHERE e.pos = coalesce(c.n, 0)
+"""
+
+ARCHIVE = """
+WITH paid AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM paid)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR page_id IS NOT DISTINCT FROM least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM least THEN least END AS refers_to
+FROM firsts
+"""
+
 ORACLES = {
     "op2_exact_dedup": EXACT,
     "op7_decontamination": LEAKS,
     "op9_line_dedup": LINES,
     "op10_secret_scan": SECRETS,
+    "op12_conversation_repair": REPAIR,
+    "op13_warc": ARCHIVE,
 }

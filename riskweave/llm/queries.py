@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskweave.llm.bpe import encode_decode
+from riskweave.llm.conversations import damage, repair_conversations
 from riskweave.llm.decontaminate import covered, decontaminate
 from riskweave.llm.exact_dedup import exact_dedup
 from riskweave.llm.html_text import extract_main_text, train_labeller
@@ -17,6 +18,8 @@ from riskweave.llm.near_dedup import near_duplicates
 from riskweave.llm.passages import linked_documents, passage_links, passages_of_documents
 from riskweave.llm.secret_scan import RULES, scan_secrets, span_text
 from riskweave.llm.sharding import shard_documents
+from riskweave.llm.warc import archive_and_read
+from riskweave.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +112,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -120,5 +135,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_warc": op13_warc,
     "pipeline": corpus_pipeline.run,
 }
