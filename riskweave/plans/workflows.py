@@ -244,13 +244,18 @@ def analyse_graph(ctx: RunContext, entities: DataFrame, links: DataFrame) -> Res
 def find_chains(
     ctx: RunContext, entities: DataFrame, links: DataFrame, focus: DataFrame | None = None
 ) -> Results:
-    """Chains and loops over the noise-free graph."""
+    """Chains and loops over the noise-free graph.
+
+    Loops are those of a cycle basis: with semantic links the graph is dense, and its
+    simple cycles (``cycles.short_cycles``) grow with the fifth power of a clique.
+    """
     nodes = chains.outlier_flag(entities)
     quiet = materialise(edges.drop_noise(links), "quiet")
-    found = chains.suspicious_chains(nodes, quiet)
-    if focus is not None and focus.limit(1).count():
-        found = chains.focus_chains(found, focus)
-    loops = cycles.describe_cycles(cycles.short_cycles(quiet), nodes)
+    wanted = focus if focus is not None and focus.limit(1).count() else None
+    found = chains.suspicious_chains(nodes, quiet, focus=wanted)
+    if wanted is not None:
+        found = chains.focus_chains(found, wanted)
+    loops = cycles.describe_cycles(cycles.fundamental_cycles(quiet), nodes)
     return Results(
         {
             "suspicious_chains": ctx.write(found, "suspicious_chains"),

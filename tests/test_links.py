@@ -150,6 +150,69 @@ def _undirected(spark, pairs_, weight=1.5):
     return spark.createDataFrame([(a, b, "shared_content", weight) for a, b in pairs_], EDGE)
 
 
+def _forest(pairs_):
+    """Root, depth and parent by plain breadth-first search."""
+    near = {}
+    for a, b in pairs_:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    tree = {}
+    for root in sorted(near):
+        if root in tree:
+            continue
+        tree[root], level = (root, 0, None), [root]
+        while level:
+            nxt = sorted({b for a in level for b in near[a]} - tree.keys())
+            for b in nxt:
+                tree[b] = (root, tree[level[0]][1] + 1, min(near[b] & set(level)))
+            level = nxt
+    return tree
+
+
+def _basis(pairs_):
+    tree, out = _forest(pairs_), set()
+
+    def up(x):
+        way = [x]
+        while tree[way[-1]][2] is not None:
+            way.append(tree[way[-1]][2])
+        return way
+
+    for a, b in {(min(p), max(p)) for p in pairs_}:
+        if tree[a][2] == b or tree[b][2] == a:
+            continue
+        ups, vps = up(a), up(b)
+        meet = next(x for x in ups if x in vps)
+        loop = ups[: ups.index(meet) + 1] + vps[: vps.index(meet)][::-1]
+        if len(loop) <= 5:
+            at = loop.index(min(loop))
+            loop = loop[at:] + loop[:at]
+            out.add(tuple(loop if loop[1] <= loop[-1] else loop[:1] + loop[:0:-1]))
+    return out
+
+
+def test_cycle_basis_matches_breadth_first_search(spark):
+    import random
+
+    rng = random.Random(5)
+    for nodes, n in ((12, 18), (30, 45), (9, 36)):
+        names = [f"n{i:02d}" for i in range(nodes)]
+        pairs_ = {tuple(sorted(rng.sample(names, 2))) for _ in range(n)}
+        given = _undirected(spark, sorted(pairs_))
+        forest = cycles.spanning_forest(graph.Adjacency(edges.both_ways(edges.collapse(given)), 3))
+        assert {r["node"]: (r["root"], r["depth"], r["parent"]) for r in forest.collect()} == _forest(pairs_)
+        assert _cycles(cycles.fundamental_cycles(given, hub_edges=3)) == _basis(pairs_)
+
+
+def test_cycle_basis_of_small_graphs(spark):
+    ring = [("A", "B"), ("B", "C"), ("C", "D"), ("D", "E"), ("A", "E")]
+    assert _cycles(cycles.fundamental_cycles(_undirected(spark, ring))) == {("A", "B", "C", "D", "E")}
+    six = [("A", "B"), ("B", "C"), ("C", "D"), ("D", "E"), ("E", "F"), ("A", "F")]
+    assert _cycles(cycles.fundamental_cycles(_undirected(spark, six))) == set()
+    clique = [(a, b) for i, a in enumerate("ABCDEF") for b in "ABCDEF"[i + 1 :]]
+    assert len(_cycles(cycles.fundamental_cycles(_undirected(spark, clique)))) == 15 - 5
+
+
 def _cycles(df):
     return {tuple(r["cycle"]) for r in df.collect()}
 
