@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions.text import rounded
-from riskweave.operators import clustering, communities, density, edges
+from riskweave.operators import clustering, communities, density, edges, mixture
 from riskweave.plans import roles
 from riskweave.plans.entity_queries import consolidated
 from riskweave.plans.outlier_queries import embedding_points
@@ -37,6 +37,30 @@ def gaussian_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(clustering.gaussian_mixture(points_of(spark, sf_dir), clustering.MAX_CLUSTERS))
 
 
+def mixture_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, variance and covariance with the next entry that the fitted mixture gives each entry.
+
+    The rounds of a right fit keep them equal to the points' own.
+    """
+    model = mixture.fit_mixture(embedding_points(spark, sf_dir).select("id", "vec"), clustering.MAX_CLUSTERS)
+    mean, cov = model.total_covariance()
+    width = len(mean)
+    rows = [
+        (i + 1, round(float(mean[i]), 6), round(float(cov[i, i]), 6), round(float(cov[i, (i + 1) % width]), 6)) for i in range(width)
+    ]
+    return spark.createDataFrame(rows, "entry int, mean double, variance double, next_covariance double")
+
+
+def mixture_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of every point's responsibilities, and whether its label has the largest."""
+    points = embedding_points(spark, sf_dir).select("id", "vec")
+    told = mixture.fit_mixture(points, clustering.MAX_CLUSTERS).responsibilities(points)
+    total = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x)
+    return told.select(
+        F.col("id").alias("vec_id"), F.round(total, 9).alias("total"), (F.get("parts", F.col("label")) == F.array_max("parts")).alias("likeliest")
+    )
+
+
 def cf_microclusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(clustering.cf_clusters(points_of(spark, sf_dir), clustering.MAX_CLUSTERS))
 
@@ -88,6 +112,8 @@ QUERIES = {
     "kmeans_clusters": kmeans_clusters,
     "minibatch_kmeans": minibatch_kmeans,
     "gaussian_mixture": gaussian_mixture,
+    "mixture_moments": mixture_moments,
+    "mixture_shares": mixture_shares,
     "cf_microclusters": cf_microclusters,
     "bisecting": bisecting,
     "density_clusters": density_clusters,
@@ -103,7 +129,14 @@ _THEME = (
     + f" ELSE '{clustering.OTHER_THEME}' END"
 )
 
+_CELLS = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+  cell AS MATERIALIZED (SELECT unnest(v) AS x, unnest(v[2:] || [v[1]]) AS y, generate_subscripts(v, 1) AS entry FROM e)"""
+
 ORACLES = {
+    "mixture_moments": _CELLS
+    + """ SELECT entry::INT AS entry, round(avg(x), 6) + 0.0 AS mean, round(var_pop(x), 6) + 0.0 AS variance,
+      round(covar_pop(x, y), 6) + 0.0 AS next_covariance FROM cell GROUP BY 1""",
+    "mixture_shares": "SELECT vec_id, 1.0::DOUBLE AS total, true AS likeliest FROM embeddings",
     "cluster_themes": f"SELECT {_THEME} AS theme, count(*) AS rows FROM embeddings GROUP BY 1",
     "community_summary": roles.with_ctes("consolidated", "collapsed")
     + """,

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.functions import stats
-from riskweave.operators import clustering, density, detectors, metric, metrics, similarity, supervised, tfidf
+from riskweave.operators import clustering, density, detectors, metric, metrics, mixture, similarity, supervised, tfidf
 from riskweave.operators.scaling import Scaler
 
 
@@ -236,6 +236,34 @@ def test_clusterings_separate_blobs(spark, blobs):
         assert _same_partition(found, groups)
 
 
+def test_mixture_equals_numpy_and_never_loses_likelihood(spark, blobs):
+    model = mixture.fit_mixture(_points(spark, blobs), 3, restarts=1, tolerance=1e-9)
+    steps = np.diff(model.history)
+    assert (steps > -1e-9).all() and len(steps) > 1
+    weights, means, covs = model.weights.copy(), model.means.copy(), model.covariances.copy()
+    d = blobs.shape[1]
+    logs = np.stack(
+        [np.log(w) - 0.5 * (np.log(np.linalg.det(2 * np.pi * c)) + np.einsum("ij,jk,ik->i", blobs - m, np.linalg.inv(c), blobs - m)) for w, m, c in zip(weights, means, covs)], 1
+    )
+    likelihood = np.log(np.exp(logs).sum(1))
+    assert model.history[-1] == pytest.approx(likelihood.mean())
+    told = {r["id"]: r for r in model.responsibilities(_points(spark, blobs)).collect()}
+    want = np.exp(logs - likelihood[:, None])
+    assert np.allclose([told[f"p{i:03d}"]["parts"] for i in range(len(blobs))], want)
+    assert all(sum(r["parts"]) == pytest.approx(1.0) for r in told.values())
+    mean, cov = model.total_covariance()
+    assert np.allclose(mean, blobs.mean(0)) and np.allclose(cov, np.cov(blobs.T, bias=True))
+    assert d == len(mean)
+
+
+def test_mixture_of_flat_and_few_points(spark):
+    flat = np.column_stack([np.arange(8.0), np.zeros(8)])  # a covariance without full rank
+    model = mixture.fit_mixture(_points(spark, flat), 2, restarts=1)
+    assert np.isfinite(model.history).all() and model.weights.sum() == pytest.approx(1.0)
+    with pytest.raises(ValueError):
+        mixture.fit_mixture(_points(spark, np.zeros((0, 2))), 2)
+
+
 def test_density_clusters_mark_noise(spark, blobs):
     found = {r["id"]: r["label"] for r in density.density_clusters(_points(spark, blobs), 10, 5, levels=20, block_rows=30).collect()}
     for start in (0, 40, 80):
