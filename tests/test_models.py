@@ -264,8 +264,95 @@ def test_mixture_of_flat_and_few_points(spark):
         mixture.fit_mixture(_points(spark, np.zeros((0, 2))), 2)
 
 
+def _density(x, smallest, samples):
+    """Density clusters by Kruskal over all pairs, equal weights together, and recursion over the tree."""
+    places, copies = np.unique(x, axis=0, return_counts=True)
+    d = np.sqrt(((places[:, None] - places[None]) ** 2).sum(2))
+    core = [sorted(np.repeat(row, copies))[samples - 1] for row in d]
+    edges = sorted((max(d[i, j], core[i], core[j]), i, j) for i in range(len(places)) for j in range(i))
+    group = {i: [i] for i in range(len(places))}
+    home = list(range(len(places)))
+    size = lambda members: int(sum(copies[m] for m in members))
+    node = {i: {"members": [i], "run": {"end": 1e9, "out": [(1e9, size([i]))], "kids": [], "points": [i]} if copies[i] >= smallest else None} for i in group}
+    at = 0
+    while at < len(edges):
+        w, links = edges[at][0], []
+        while at < len(edges) and edges[at][0] == w:
+            links.append(edges[at][1:])
+            at += 1
+        near = {}
+        for i, j in links:
+            if home[i] != home[j]:
+                near.setdefault(home[i], set()).add(home[j])
+                near.setdefault(home[j], set()).add(home[i])
+        seen = set()
+        for start in list(near):
+            if start in seen:
+                continue
+            parts, todo = [], [start]
+            while todo:
+                a = todo.pop()
+                if a not in seen:
+                    seen.add(a)
+                    parts.append(a)
+                    todo += near[a]
+            members = [m for a in parts for m in node[a]["members"]]
+            runs = [node[a]["run"] for a in parts if node[a]["run"]]
+            small = [m for a in parts if not node[a]["run"] for m in node[a]["members"]]
+            lam, run = 1 / w, None
+            if size(members) >= smallest:
+                if len(runs) == 1:
+                    run = runs[0]
+                    run["out"].append((lam, size(small)))
+                    run["points"] += small
+                else:
+                    for r in runs:
+                        r["birth"] = lam
+                    run = {"out": [(lam, size(members))], "kids": runs, "points": small}
+            new = min(members)
+            for a in parts:
+                del node[a]
+            node[new] = {"members": members, "run": run}
+            for m in members:
+                home[m] = new
+    labels, root = {}, next(iter(node.values()))["run"]
+
+    def value(run):
+        run["below"] = sum(value(k) for k in run["kids"])
+        run["stable"] = sum((lam - run.get("birth", 0.0)) * n for lam, n in run["out"])
+        return max(run["stable"], run["below"])
+
+    def mark(run, name):
+        name = id(run) if name is None and run is not root and run["stable"] >= run["below"] else name
+        for m in run["points"]:
+            labels[m] = name
+        for k in run["kids"]:
+            mark(k, name)
+
+    if root:
+        value(root)
+        mark(root, None)
+    index = {tuple(p): i for i, p in enumerate(places)}
+    return [labels.get(index[tuple(r)]) for r in x]
+
+
+@pytest.mark.parametrize(("seed", "smallest", "samples", "parts"), [(1, 5, 3, 8), (2, 4, 4, 2), (3, 8, 2, 3)])
+def test_density_clusters_equal_kruskal(spark, seed, smallest, samples, parts):
+    rng = np.random.default_rng(seed)
+    x = np.vstack([rng.normal(c, s, (25, 2)) for c, s in ((0, 0.4), (2.2, 0.5), (7, 1.0), (7.5, 0.2))] + [rng.uniform(-5, 12, (15, 2))])
+    if seed != 1:
+        x = np.round(x, 1)  # many equal weights
+    x = np.vstack([x, np.repeat(x[:2], 6, axis=0)])  # places of many copies
+    assert len(np.unique(x, axis=0)) > 60
+    found = {r["id"]: r["label"] for r in density.density_clusters(_points(spark, x), smallest, samples, block_rows=20, parts=parts).collect()}
+    want = _density(x, smallest, samples)
+    mine = [found[f"p{i:03d}"] for i in range(len(x))]
+    assert [m == -1 for m in mine] == [w is None for w in want]
+    assert len(set(zip(mine, want))) == len(set(mine)) == len(set(want)) > 2
+
+
 def test_density_clusters_mark_noise(spark, blobs):
-    found = {r["id"]: r["label"] for r in density.density_clusters(_points(spark, blobs), 10, 5, levels=20, block_rows=30).collect()}
+    found = {r["id"]: r["label"] for r in density.density_clusters(_points(spark, blobs), 10, 5, block_rows=30).collect()}
     for start in (0, 40, 80):
         inside = [found[f"p{i:03d}"] for i in range(start, start + 40)]
         top = max(set(inside), key=inside.count)
