@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions.text import rounded
-from riskweave.operators import clustering, communities, density, edges, mixture
+from riskweave.operators import agglomerative, clustering, communities, density, edges, mixture
 from riskweave.plans import roles
 from riskweave.plans.entity_queries import consolidated
 from riskweave.plans.outlier_queries import embedding_points
@@ -65,6 +65,29 @@ def cf_microclusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(clustering.cf_clusters(points_of(spark, sf_dir), clustering.MAX_CLUSTERS))
 
 
+def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(clustering.ward(points_of(spark, sf_dir), clustering.MAX_CLUSTERS))
+
+
+def ward_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of merges of Ward's hierarchy, the cheapest, and what all of them add to the inner sum of squares."""
+    merges = agglomerative.ward_merges(embedding_points(spark, sf_dir).select("id", "vec"))
+    return merges.agg(
+        F.count(F.lit(1)).alias("merges"), rounded(F.min("cost")).alias("cheapest"), rounded(F.sum("cost")).alias("total")
+    )
+
+
+def feature_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over all clustering features: rows, entries, squares; and whether every feature keeps its radius."""
+    features, _ = agglomerative.cluster_features(embedding_points(spark, sf_dir).select("id", "vec"), clustering.CF_RADIUS)
+    sums = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x) * F.col("size")
+    squares = F.col("squares") + F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x) * F.col("size")
+    inside = F.sqrt(F.col("squares") / F.col("size")) <= clustering.CF_RADIUS * (1 + 1e-9)
+    return features.agg(
+        F.sum("size").cast("long").alias("rows"), rounded(F.sum(sums)).alias("entries"), rounded(F.sum(squares)).alias("squares"), F.bool_and(inside).alias("inside")
+    )
+
+
 def bisecting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(clustering.bisecting(points_of(spark, sf_dir), clustering.MAX_CLUSTERS))
 
@@ -115,6 +138,9 @@ QUERIES = {
     "mixture_moments": mixture_moments,
     "mixture_shares": mixture_shares,
     "cf_microclusters": cf_microclusters,
+    "ward_clusters": ward_clusters,
+    "ward_heights": ward_heights,
+    "feature_totals": feature_totals,
     "bisecting": bisecting,
     "density_clusters": density_clusters,
     "pca_2d": pca_2d,
@@ -136,6 +162,14 @@ ORACLES = {
     "mixture_moments": _CELLS
     + """ SELECT entry::INT AS entry, round(avg(x), 6) + 0.0 AS mean, round(var_pop(x), 6) + 0.0 AS variance,
       round(covar_pop(x, y), 6) + 0.0 AS next_covariance FROM cell GROUP BY 1""",
+    "ward_heights": _CELLS
+    + """, places AS (SELECT DISTINCT v FROM e),
+      first AS (SELECT min(list_distance(a.v, b.v) ^ 2 * na * nb / (na + nb)) AS cheapest
+        FROM (SELECT v, count(*)::DOUBLE AS na FROM e GROUP BY 1) a JOIN (SELECT v, count(*)::DOUBLE AS nb FROM e GROUP BY 1) b ON a.v < b.v)
+      SELECT (SELECT count(*) - 1 FROM places) AS merges, (SELECT round(cheapest, 6) FROM first) AS cheapest,
+        (SELECT round(sum(s), 6) FROM (SELECT var_pop(x) * count(*) AS s FROM cell GROUP BY entry)) AS total""",
+    "feature_totals": _CELLS
+    + """ SELECT (SELECT count(*) FROM e) AS rows, round(sum(x), 6) + 0.0 AS entries, round(sum(x * x), 6) AS squares, true AS inside FROM cell""",
     "mixture_shares": "SELECT vec_id, 1.0::DOUBLE AS total, true AS likeliest FROM embeddings",
     "cluster_themes": f"SELECT {_THEME} AS theme, count(*) AS rows FROM embeddings GROUP BY 1",
     "community_summary": roles.with_ctes("consolidated", "collapsed")

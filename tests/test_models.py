@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.functions import stats
-from riskweave.operators import clustering, density, detectors, metric, metrics, mixture, similarity, supervised, tfidf
+from riskweave.operators import agglomerative, clustering, density, detectors, metric, metrics, mixture, similarity, supervised, tfidf
 from riskweave.operators.scaling import Scaler
 
 
@@ -264,6 +264,58 @@ def test_mixture_of_flat_and_few_points(spark):
         mixture.fit_mixture(_points(spark, np.zeros((0, 2))), 2)
 
 
+def _ward(x, k):
+    """Ward by always merging the cheapest pair; equal rows are one from the start."""
+    places, inverse, copies = np.unique(x, axis=0, return_inverse=True, return_counts=True)
+    groups = [[i] for i in range(len(places))]
+    costs = []
+
+    def cost(a, b):
+        na, nb = copies[a].sum(), copies[b].sum()
+        ca, cb = (np.average(places[g], axis=0, weights=copies[g]) for g in (a, b))
+        return na * nb / (na + nb) * ((ca - cb) ** 2).sum()
+
+    cut = None
+    while len(groups) > 1:
+        if len(groups) == k:
+            cut = [list(g) for g in groups]
+        c, i, j = min((cost(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i))
+        costs.append(c)
+        groups[j] += groups[i]
+        del groups[i]
+    label = {m: n for n, g in enumerate(cut) for m in g}
+    return [label[i] for i in np.ravel(inverse)], sorted(costs)
+
+
+@pytest.mark.parametrize("block_rows", [13, 1024])
+def test_ward_equals_cheapest_pair_first(spark, blobs, block_rows):
+    x = np.vstack([blobs[::3], blobs[:4], blobs[:4]])
+    want, costs = _ward(x, 4)
+    points = _points(spark, x)
+    got = {r["id"]: r["label"] for r in agglomerative.ward_labels(points, 4, block_rows).collect()}
+    mine = [got[f"p{i:03d}"] for i in range(len(x))]
+    assert len(set(zip(mine, want))) == len(set(mine)) == 4
+    found = sorted(r["cost"] for r in agglomerative.ward_merges(points, block_rows).collect())
+    assert np.allclose(found, costs)
+
+
+def test_features_keep_their_radius_whatever_the_partitions(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 0.02, (30, 40)) for c in (0.0, 1.0)] + [rng.normal(0, 3, (5, 40))])
+    seen = []
+    for parts in (1, 7):
+        features, member = agglomerative.cluster_features(_points(spark, x).repartition(parts), 0.5, block_rows=9)
+        of = {r["id"]: r["feature"] for r in member.collect()}
+        rows = {r["id"]: r for r in features.collect()}
+        assert set(of.values()) == set(rows) and len(rows) == 2 + 5  # cubes of this width would keep all 65 rows apart
+        for f, r in rows.items():
+            mine = x[[i for i in range(len(x)) if of[f"p{i:03d}"] == f]]
+            assert len(mine) == r["size"] and np.allclose(mine.mean(0), r["vec"])
+            assert ((mine - mine.mean(0)) ** 2).sum() == pytest.approx(r["squares"]) and r["squares"] / r["size"] <= 0.25
+        seen.append(of)
+    assert seen[0] == seen[1]
+
+
 def _density(x, smallest, samples):
     """Density clusters by Kruskal over all pairs, equal weights together, and recursion over the tree."""
     places, copies = np.unique(x, axis=0, return_counts=True)
