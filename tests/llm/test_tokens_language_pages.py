@@ -34,11 +34,11 @@ def test_transducer_is_minimal_and_exact(vocabulary):
     words = sorted({w.encode() for w in ("nation", "station", "ration", "ration s", "a", "ab", "é", " éa", "stations")})
     blob = Transducer.compile((w, [i, i + 7]) for i, w in enumerate(words))
     t = Transducer(blob)
-    assert [t.ids_of(w) for w in words] == [packed([i, i + 7]) for i in range(len(words))]
-    assert t.ids_of(b"") is None and t.ids_of(b"natio") is None and t.ids_of(b"nationx") is None
+    assert [t.ids_at(n) for n in t.slots_of(words)] == [packed([i, i + 7]) for i in range(len(words))]
+    assert t.slots_of([b"", b"natio", b"nationx", b"x" * 99]).tolist() == [-1] * 4
     shared = Transducer(Transducer.compile((a + b"ation", [1]) for a in (b"n", b"r", b"st")))
     assert len(shared.final) == 8  # the common ending is stored once
-    assert Transducer(Transducer.compile([])).ids_of(b"a") is None
+    assert Transducer(Transducer.compile([])).slots_of([b"a", b""]).tolist() == [-1, -1]
 
 
 def test_coding_equals_library(library, vocabulary):
