@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -239,19 +240,16 @@ def predict_language(
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 << BITS buckets by labels
     carried = [c for c in docs.columns if c not in names]
-    row = F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row")
-    given = docs.select(row, F.col(text_col).cast("string").alias("text"))
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())],
-                ["row", "label", "score"],
-            )
-
-    schema = f"row {given.schema['row'].dataType.simpleString()}, label string, score double"
-    return given.mapInArrow(predict, schema).select(
-        *[F.col("row").getField(c).alias(c) for c in carried], F.col("label").alias(names[0]), F.col("score").alias(names[1])
+    # Only the text goes to Python.  Without the last call a later filter would predict a second time.
+    @F.pandas_udf("label string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        found = [shared.value.predict(t) for t in texts]
+        return pd.DataFrame({"label": [a for a, _ in found], "score": [float(b) for _, b in found]}, columns=["label", "score"])
+
+    told = predict.asNondeterministic()(F.col(text_col).cast("string"))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), told.alias("told"))
+    return given.select(
+        *[F.col("row").getField(c).alias(c) for c in carried],
+        F.col("told.label").alias(names[0]), F.col("told.score").alias(names[1]),
     )
