@@ -511,8 +511,8 @@ def chi2_quantile(p: float, d: int) -> float:
 class RobustCovariance(Detector):
     """Minimum covariance determinant; the score is the squared Mahalanobis distance.
 
-    A small sample supplies the start; concentration steps then run on the whole
-    table, each one an exact quantile and one aggregation of the moments.
+    Every start and every concentration step is judged on the whole table; see
+    :func:`minimum_determinant`.
     """
 
     name = "ellipticenvelope"
@@ -523,24 +523,10 @@ class RobustCovariance(Detector):
         self.threshold = threshold
 
     @classmethod
-    def fit(
-        cls, points: DataFrame, contamination: float = CONTAMINATION, steps: int = 10, seed: int = SEED
-    ) -> RobustCovariance:
+    def fit(cls, points: DataFrame, contamination: float = CONTAMINATION, seed: int = SEED) -> RobustCovariance:
         data = materialise(distinct_points(points, "id"), "mcd")
         d = len(data.first()["vec"])
-        n = data.agg(F.sum("copies")).first()[0]
-        support = min(1.0, math.ceil(0.5 * (n + d + 1)) / n)
-        centre, cov = _sample_start(data, d, support, seed)
-        det = math.inf
-        for _ in range(steps):
-            model = cls(centre, np.linalg.pinv(cov), 0.0)
-            scored = model.scores(data, "vec", "copies")
-            cut = exact_quantile(scored, "score", support, "copies")
-            centre, cov = _moments(scored.where(F.col("score") <= F.lit(cut)), d)
-            new = float(np.linalg.det(cov))
-            if not new < det * (1 - 1e-9):
-                break
-            det = new
+        centre, cov, _ = minimum_determinant(data, d, seed=seed)
         # Consistency at the normal model, then one reweighting.
         model = cls(centre, np.linalg.pinv(cov), 0.0)
         middle = exact_quantile(model.scores(data, "copies"), "score", 0.5, "copies")
@@ -594,25 +580,160 @@ def _moments(rows: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, cov
 
 
-def _sample_start(data: DataFrame, d: int, support: float, seed: int, rows: int = 600, starts: int = 30):
-    """Best of several concentrations on at most ``rows`` sampled points."""
-    pdf = data.orderBy(F.xxhash64("id", F.lit(seed))).limit(rows).select("vec").toPandas()
-    x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-    rng = np.random.default_rng(seed)
-    keep = max(d + 1, int(math.ceil(support * len(x))))
-    best = (math.inf, x.mean(0), np.cov(x.T, bias=True).reshape(d, d))
-    for s in range(starts):
-        chosen = x if s == 0 else x[rng.choice(len(x), min(len(x), d + 1), replace=False)]
-        for _ in range(10):
-            centre, cov = chosen.mean(0), np.cov(chosen.T, bias=True).reshape(d, d)
-            gap = x - centre
-            dist = np.einsum("ij,jk,ik->i", gap, np.linalg.pinv(cov), gap)
-            chosen = x[np.argsort(dist, kind="stable")[:keep]]
-        cov = np.cov(chosen.T, bias=True).reshape(d, d)
-        det = float(np.linalg.det(cov))
-        if 1e-15 < det < best[0]:
-            best = (det, chosen.mean(0), cov)
-    return best[1], best[2]
+def _mahalanobis(x: np.ndarray, centre: np.ndarray, precision: np.ndarray) -> np.ndarray:
+    """Squared distances, entry by entry so that a row's value does not depend on its batch."""
+    gap = x - centre
+    total = np.zeros(len(x))
+    for i in range(x.shape[1]):
+        for j in range(x.shape[1]):
+            total += gap[:, i] * gap[:, j] * precision[i, j]
+    return total
+
+
+def _drawn_starts(data: DataFrame, d: int, starts: int, seed: int) -> list[np.ndarray]:
+    """For each start a few rows, those of least hash; ``starts`` times ``3 (d + 1)`` rows reach the driver."""
+    most = 3 * (d + 1)
+    keys = np.random.default_rng(seed).integers(1, 1 << 62, starts, dtype=np.uint64)
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            base = pdf["h"].to_numpy().astype(np.uint64)
+            for s, key in enumerate(keys):
+                mixed = (base ^ key) * np.uint64(0x9E3779B97F4A7C15)
+                mixed = ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(1)
+                at = np.argsort(mixed, kind="stable")[:most]
+                yield pd.DataFrame({"start": s, "order": mixed[at].astype(np.int64), "vec": list(pdf["vec"].iloc[at])})
+
+    drawn = data.select(F.xxhash64("id").alias("h"), "vec").mapInPandas(least, "start int, order long, vec array<double>")
+    ranked = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("start").orderBy("order", "vec"))).where(F.col("_n") <= most)
+    rows: dict[int, list] = {}
+    for r in ranked.orderBy("start", "_n").collect():
+        rows.setdefault(r["start"], []).append(r["vec"])
+    return [np.array(rows[s], dtype=np.float64) for s in sorted(rows)]
+
+
+def _start_model(rows: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the first ``d + 1`` rows, or of as many more as give it full rank."""
+    for n in range(d + 1, len(rows) + 1):
+        cov = np.cov(rows[:n].T, bias=True).reshape(d, d)
+        if np.linalg.matrix_rank(cov) == d:
+            return rows[:n].mean(0), cov
+    return rows.mean(0), np.cov(rows.T, bias=True).reshape(d, d)
+
+
+def _per_start(data: DataFrame, models: list, emit, schema: str) -> DataFrame:
+    """``emit(start, x, copies, scores)`` of every batch under every model."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+                copies = pdf["copies"].to_numpy(dtype=np.float64)
+                for s, (centre, precision) in enumerate(models):
+                    yield emit(s, x, copies, _mahalanobis(x, centre, precision))
+
+    return data.select("vec", "copies").mapInPandas(run, schema)
+
+
+def _support_cuts(data: DataFrame, models: list, support: int) -> list[float]:
+    """For each model the least score up to which ``support`` rows lie, exact, all models at once.
+
+    Each pass narrows every model's histogram to the bin that holds the answer, until
+    that bin holds one value.
+    """
+    bins = 256
+    ranges = [(-math.inf, math.inf)] * len(models)
+    below = [0.0] * len(models)
+    while any(lo < hi for lo, hi in ranges):
+        now = list(ranges)
+
+        def count(s: int, x: np.ndarray, copies: np.ndarray, scores: np.ndarray, now=now) -> pd.DataFrame:
+            lo, hi = now[s]
+            inside = (scores >= lo) & (scores <= hi)
+            v, w = scores[inside], copies[inside]
+            if lo == hi or not len(v):
+                return pd.DataFrame({"start": [], "bin": [], "n": [], "lo": [], "hi": []})
+            if math.isinf(lo):
+                at = np.zeros(len(v), dtype=np.int64)
+            else:
+                at = np.minimum((v - lo) * (bins / (hi - lo)), bins - 1).astype(np.int64)
+            table = pd.DataFrame({"bin": at, "n": w, "v": v}).groupby("bin").agg(n=("n", "sum"), lo=("v", "min"), hi=("v", "max")).reset_index()
+            return table.assign(start=s)[["start", "bin", "n", "lo", "hi"]]
+
+        parts = _per_start(data, models, count, "start int, bin int, n double, lo double, hi double")
+        rows = parts.groupBy("start", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("start", "bin").collect()
+        done = set()
+        for r in rows:  # at most bins rows for each start
+            s = r["start"]
+            if s in done:
+                continue
+            if below[s] + r["n"] >= support:
+                ranges[s] = (r["lo"], r["hi"])
+                done.add(s)
+            else:
+                below[s] += r["n"]
+    return [lo for lo, _ in ranges]
+
+
+def _concentrate(data: DataFrame, models: list, support: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """One concentration step of every model: mean and covariance of its support, and the cut."""
+    cuts = _support_cuts(data, models, support)
+
+    def add(s: int, x: np.ndarray, copies: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+        w = np.where(scores <= cuts[s], copies, 0.0)
+        gap = x - models[s][0]
+        sums = np.concatenate([[w.sum()], w @ gap, ((gap * w[:, None]).T @ gap).ravel()])
+        return pd.DataFrame({"start": s, "at": np.arange(len(sums)), "x": sums})
+
+    rows = _per_start(data, models, add, "start int, at int, x double").groupBy("start", "at").agg(F.sum("x").alias("x")).collect()
+    d = len(models[0][0])
+    sums = np.zeros((len(models), 1 + d + d * d))
+    for r in rows:
+        sums[r["start"], r["at"]] = r["x"]
+    out = []
+    for s, (centre, _) in enumerate(models):
+        n = sums[s, 0]
+        shift = sums[s, 1 : 1 + d] / n
+        out.append((centre + shift, sums[s, 1 + d :].reshape(d, d) / n - np.outer(shift, shift), cuts[s]))
+    return out
+
+
+def minimum_determinant(
+    data: DataFrame, d: int, starts: int = 30, kept: int = 10, first_steps: int = 2, max_steps: int = 200, seed: int = SEED
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centre, covariance and cut of the support of least covariance determinant.
+
+    ``data(id, vec, copies)``; the support is half of the rows (and ``d + 1``), or more where
+    scores tie at the cut.  All starts concentrate side by side on the whole table; the ``kept``
+    best go on until their determinants stand.  Not settling is an error.  Supports in a
+    plane (determinant 0) only count when there is no other.
+    """
+    n = data.agg(F.sum("copies")).first()[0]
+    support = min(n, math.ceil(0.5 * (n + d + 1)))
+    models = [_start_model(rows, d) for rows in _drawn_starts(data, d, starts, seed)]
+    mean, cov = _moments(data, d)
+    models.append((mean, cov))
+    tiny = 1e-15 * max(float(np.prod(np.diag(cov))), 1e-300)
+
+    def rank(state: tuple) -> tuple[bool, float]:
+        det = float(np.linalg.det(state[1]))
+        return det <= tiny, det
+
+    states = [(c, v, math.inf) for c, v in models]
+    for _ in range(first_steps):
+        states = _concentrate(data, [(c, np.linalg.pinv(v)) for c, v, _ in states], support)
+    going = sorted(states, key=rank)[:kept]
+    settled: list[tuple] = []
+    for _ in range(max_steps):
+        after = _concentrate(data, [(c, np.linalg.pinv(v)) for c, v, _ in going], support)
+        still = []
+        for old, new in zip(going, after):
+            falls = rank(old)[1] > tiny and rank(new)[1] < rank(old)[1] * (1 - 1e-12)
+            (still if falls else settled).append(new if falls else min(old, new, key=rank))
+        going = still
+        if not going:
+            return min(settled, key=rank)
+    raise RuntimeError(f"determinants still fall after {max_steps} steps")
 
 
 DETECTORS = {

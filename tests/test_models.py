@@ -203,6 +203,33 @@ def test_one_class_scores_follow_the_exact_kernel(spark, blobs):
     assert np.corrcoef(ranks(exact), ranks(ours))[0, 1] > 0.8
 
 
+def test_minimum_determinant_equals_all_subsets(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(0, 1, (10, 2)) @ np.array([[1.0, 0.4], [0.0, 0.6]]), rng.normal(6, 0.5, (4, 2))])
+    data = metric.distinct_points(_points(spark, x), "id").repartition(3).cache()
+    centre, cov, cut = detectors.minimum_determinant(data, 2)
+    size = math.ceil(0.5 * (len(x) + 3))
+    best = min(combinations(range(len(x)), size), key=lambda c: np.linalg.det(np.cov(x[list(c)].T, bias=True)))
+    assert np.allclose(centre, x[list(best)].mean(0)) and np.allclose(cov, np.cov(x[list(best)].T, bias=True))
+    gap = x - centre
+    inside = np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov), gap) <= cut * (1 + 1e-9)
+    assert set(np.flatnonzero(inside)) == set(best)
+
+
+def test_support_cut_is_exact_with_copies(spark):
+    rng = np.random.default_rng(8)
+    x = np.repeat(np.round(rng.normal(0, 1, (40, 2)), 1), rng.integers(1, 6, 40), axis=0)
+    data = metric.distinct_points(_points(spark, x), "id").cache()
+    models = [(np.zeros(2), np.eye(2)), (np.ones(2), np.diag([0.5, 2.0]))]
+    for support in (1, 30, len(x)):
+        cuts = detectors._support_cuts(data, models, support)
+        for (c, p), cut in zip(models, cuts):
+            scores = np.sort(detectors._mahalanobis(x, c, p))
+            assert cut == scores[support - 1]
+
+
 def test_chi_square_quantiles():
     assert detectors.chi2_quantile(0.5, 3) == pytest.approx(2.365974, abs=1e-5)
     assert detectors.chi2_quantile(0.975, 3) == pytest.approx(9.348404, abs=1e-5)
