@@ -13,7 +13,7 @@ from riskweave.session import materialise
 BINS = 2048
 
 
-def _order_statistic(df: DataFrame, rank: int, lo: float, hi: float) -> float:
+def order_statistic(df: DataFrame, rank: int, lo: float, hi: float) -> float:
     """Value at 0-based ``rank`` of ``df(v, w)`` by narrowing a histogram.
 
     Each round is one aggregation to at most ``BINS`` rows; the range shrinks by
@@ -61,10 +61,10 @@ def exact_quantile(
         return None
     position = q * (head["n"] - 1)
     rank = math.floor(position)
-    low = _order_statistic(rows, rank, head["lo"], head["hi"])
+    low = order_statistic(rows, rank, head["lo"], head["hi"])
     if position == rank:
         return low
-    high = _order_statistic(rows, rank + 1, head["lo"], head["hi"])
+    high = order_statistic(rows, rank + 1, head["lo"], head["hi"])
     return low + (position - rank) * (high - low)
 
 
@@ -74,7 +74,7 @@ def value_at_rank(df: DataFrame, col: str, rank: int) -> float:
         F.col("v").isNotNull()
     )
     head = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    return _order_statistic(rows, rank, head["lo"], head["hi"])
+    return order_statistic(rows, rank, head["lo"], head["hi"])
 
 
 def running_sums(

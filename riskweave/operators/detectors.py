@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.functions.stats import exact_quantile
+from riskweave.functions.stats import exact_quantile, order_statistic
 from riskweave.operators.metric import TIE_DIGITS, distinct_points, nearest
 from riskweave.session import materialise
 
 CONTAMINATION = 0.05
 SEED = 42
+# Relative duality gap at which the one-class machine is solved.
+GAP = 1e-3
 
 
 def _write_state(spark: SparkSession, path: str, state: dict) -> None:
@@ -217,11 +219,16 @@ class OneClassSVM(Detector):
     """RBF one-class SVM in a random Fourier feature space.
 
     The dual asks for the shortest mean over weights capped at 1/(nu n).  Each
-    Frank-Wolfe step needs the nu share of points with the least projection and
+    step finds the nu share of points with the least projection and
     the mean of their features: one quantile and one small sum over the data.
+    The shortest point between all means found so far is then exact, on the driver, and the
+    duality gap tells how far the whole problem still is from its end.
+    ``gap`` is that gap over the squared length, ``kernel_error`` the mean
+    difference between the feature products and the kernel, measured between all points and a few.
     """
 
     name = "oneclasssvm"
+    gap = kernel_error = math.nan
 
     def __init__(self, directions, shifts, weights, threshold: float):
         self.directions = np.asarray(directions, dtype=np.float64)
@@ -240,24 +247,34 @@ class OneClassSVM(Detector):
         points: DataFrame,
         nu: float = CONTAMINATION,
         features: int = 256,
-        steps: int = 20,
+        max_steps: int = 500,
+        tolerance: float = GAP,
         seed: int = SEED,
     ) -> OneClassSVM:
+        """Steps go on until the relative duality gap is below ``tolerance``; beyond ``max_steps`` is an error."""
         data = materialise(distinct_points(points, "id"), "svm")
         gamma = scale_gamma(data)
-        width, places = len(data.first()["vec"]), data.count()
+        width, rows = len(data.first()["vec"]), data.agg(F.sum("copies")).first()[0]
         directions, shifts = cls.fourier_map(width, features, gamma, seed)
-        model = cls(directions, shifts, _mean_features(data, directions, shifts), 0.0)
-        for _ in range(steps):
+        corners = [_mean_features(data, directions, shifts)]
+        share = np.ones(1)
+        model = cls(directions, shifts, corners[0], 0.0)
+        mass = nu * rows
+        for _ in range(max_steps):
             scored = model.scores(data.select("id", "vec", "copies"), "copies")
-            cut = exact_quantile(scored, "score", 1.0 - nu, "copies")
-            target = _mean_features(data, directions, shifts, model.weights, -cut)
-            gap = model.weights - target
-            size = float(gap @ gap)
-            move = min(1.0, max(0.0, float(model.weights @ gap) / size)) if size > 0 else 0.0
-            model.weights = model.weights - move * gap
-            if move < 1e-4:
+            cut = -_largest(scored, min(rows, max(1, math.ceil(mass - 1e-9))))
+            corner = _least_corner(data, directions, shifts, model.weights, cut, mass)
+            size = float(model.weights @ model.weights)
+            model.gap = max(0.0, size - float(model.weights @ corner)) / max(size, 1e-300)
+            if model.gap <= tolerance:
                 break
+            corners.append(corner)
+            share = _shortest(np.array(corners), np.append(share, 0.0), tolerance * size / 10)
+            corners, share = [c for c, s in zip(corners, share) if s > 0], share[share > 0]
+            model.weights = share @ np.array(corners)
+        else:
+            raise RuntimeError(f"the duality gap is still {model.gap} after {max_steps} steps")
+        model.kernel_error = _kernel_error(data, directions, shifts, gamma, seed)
         scored = model.scores(data.select("id", "vec", "copies"), "copies")
         model.threshold = exact_quantile(scored, "score", 1.0 - nu, "copies")
         return model
@@ -283,13 +300,17 @@ class OneClassSVM(Detector):
                 "shifts": self.shifts.tolist(),
                 "weights": self.weights.tolist(),
                 "threshold": self.threshold,
+                "gap": self.gap,
+                "kernel_error": self.kernel_error,
             },
         )
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> OneClassSVM:
         s = _read_state(spark, path)
-        return cls(s["directions"], s["shifts"], s["weights"], s["threshold"])
+        model = cls(s["directions"], s["shifts"], s["weights"], s["threshold"])
+        model.gap, model.kernel_error = s["gap"], s["kernel_error"]
+        return model
 
 
 def _fourier(x: np.ndarray, directions: np.ndarray, shifts: np.ndarray) -> np.ndarray:
@@ -310,21 +331,82 @@ def scale_gamma(points: DataFrame) -> float:
     return 1.0 / (m["d"] * variance) if variance > 0 else 1.0
 
 
-def _mean_features(data, directions, shifts, weights=None, at_most: float | None = None) -> np.ndarray:
-    """Mean Fourier feature of the points whose projection is small enough."""
+def _largest(scored: DataFrame, rank: int) -> float:
+    """The ``rank``-th largest score, copies counted."""
+    rows = scored.select((-F.col("score")).alias("v"), F.col("copies").cast("long").alias("w"))
+    head = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    return -order_statistic(rows, rank - 1, head["lo"], head["hi"])
+
+
+def _least_corner(data, directions, shifts, weights, cut: float, mass: float) -> np.ndarray:
+    """Mean feature of the ``mass`` points of least projection; those at the cut share what is left."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, mass = np.zeros(len(shifts)), 0.0
+        total = np.zeros((2, len(shifts) + 1))
         for pdf in batches:
-            if not len(pdf):
-                continue
-            z = _fourier(np.stack(pdf["vec"].to_numpy()).astype(np.float64), directions, shifts)
-            # A point counts as often as it occurs.
-            w = pdf["copies"].to_numpy(dtype=np.float64)
-            if weights is not None:
-                w = np.where(z @ weights <= at_most + 1e-12, w, 0.0)
-            total, mass = total + w @ z, mass + w.sum()
-        yield pd.DataFrame({"sums": [np.append(total, mass)]})
+            if len(pdf):
+                z = _fourier(np.stack(pdf["vec"].to_numpy()).astype(np.float64), directions, shifts)
+                copies, at = pdf["copies"].to_numpy(dtype=np.float64), z @ weights
+                for side, here in enumerate((at < cut - 1e-12, np.abs(at - cut) <= 1e-12)):
+                    w = np.where(here, copies, 0.0)
+                    total[side] += np.append(w @ z, w.sum())
+        yield pd.DataFrame({"sums": [total.ravel()]})
+
+    sums = (
+        data.select("vec", "copies").mapInPandas(partial, "sums array<double>")
+        .select(F.posexplode("sums").alias("at", "x"))
+        .groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
+    )
+    below, level = np.array([r["x"] for r in sums]).reshape(2, -1)
+    part = (mass - below[-1]) / level[-1] if level[-1] else 0.0
+    return (below[:-1] + part * level[:-1]) / mass
+
+
+def _shortest(corners: np.ndarray, share: np.ndarray, tolerance: float) -> np.ndarray:
+    """Weights of the shortest point of the corners' hull, moving weight from the worst to the best corner."""
+    gram = corners @ corners.T
+    at = gram @ share
+    for _ in range(200_000):
+        best = int(at.argmin())
+        worst = int(np.where(share > 0, at, -np.inf).argmax())
+        if at[worst] - at[best] <= tolerance:
+            break
+        curve = gram[best, best] + gram[worst, worst] - 2 * gram[best, worst]
+        move = min(share[worst], (at[worst] - at[best]) / max(curve, 1e-300))
+        share[best] += move
+        share[worst] = share[worst] - move if move < share[worst] else 0.0
+        at += move * (gram[:, best] - gram[:, worst])
+    return share / share.sum()
+
+
+def _kernel_error(data, directions, shifts, gamma: float, seed: int, references: int = 32) -> float:
+    """Mean absolute difference between feature products and the kernel, all points against a few."""
+    few = np.array([r["vec"] for r in data.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(references).select("vec").collect()], dtype=np.float64)
+    told = _fourier(few, directions, shifts)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+                exact = np.exp(-gamma * ((x[:, None] - few[None]) ** 2).sum(2))
+                off = np.abs(_fourier(x, directions, shifts) @ told.T - exact)
+                yield pd.DataFrame({"e": [off.sum()], "n": [float(off.size)]})
+
+    r = data.select("vec").mapInPandas(partial, "e double, n double").agg((F.sum("e") / F.sum("n")).alias("e")).first()
+    return float(r["e"])
+
+
+def _mean_features(data, directions, shifts) -> np.ndarray:
+    """Mean Fourier feature of all points, copies counted."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(shifts) + 1)
+        for pdf in batches:
+            if len(pdf):
+                z = _fourier(np.stack(pdf["vec"].to_numpy()).astype(np.float64), directions, shifts)
+                w = pdf["copies"].to_numpy(dtype=np.float64)
+                total += np.append(w @ z, w.sum())
+        yield pd.DataFrame({"sums": [total]})
 
     sums = (
         data.select("vec", "copies").mapInPandas(partial, "sums array<double>")

@@ -203,6 +203,30 @@ def test_one_class_scores_follow_the_exact_kernel(spark, blobs):
     assert np.corrcoef(ranks(exact), ranks(ours))[0, 1] > 0.8
 
 
+def test_one_class_machine_is_solved_to_its_gap(spark, blobs):
+    x = np.vstack([blobs[:60], blobs[:3], blobs[:3]])
+    x = (x - x.mean(0)) / x.std(0)
+    nu = 0.1
+    model = detectors.OneClassSVM.fit(_points(spark, x), nu=nu, features=64)
+    z = detectors._fourier(x, model.directions, model.shifts)
+    # the same problem by many plain steps over rows: weights of rows capped at 1 / (nu n)
+    alpha, cap = np.full(len(x), 1 / len(x)), 1 / (nu * len(x))
+    for t in range(20_000):
+        target, left = np.zeros(len(x)), 1.0
+        for i in np.argsort(z @ (z.T @ alpha), kind="stable"):
+            target[i] = min(cap, left)
+            left -= target[i]
+            if left <= 0:
+                break
+        alpha += 2 / (t + 3) * (target - alpha)
+    best = z.T @ alpha
+    assert model.gap <= detectors.GAP
+    assert model.weights @ model.weights <= (best @ best) * (1 + 2 * detectors.GAP)
+    assert np.linalg.norm(model.weights - best) <= 0.1 * np.linalg.norm(best)
+    flags = [r["flag"] for r in model.transform(_points(spark, x)).collect()]
+    assert abs(sum(flags) - nu * len(x)) <= 3 and 0 < model.kernel_error < 0.2
+
+
 def test_minimum_determinant_equals_all_subsets(spark):
     from itertools import combinations
 
