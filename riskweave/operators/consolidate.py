@@ -62,6 +62,7 @@ def duplicate_matches(match_summary: DataFrame) -> DataFrame:
     return match_summary.groupBy("entity_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
+# What a missing column counts as.
 _FILL = {
     "sources_evaluated": 0,
     "sources_with_hallazgo": 0,
