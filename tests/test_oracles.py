@@ -13,7 +13,7 @@ from conftest import SMALL
 FAST = [
     "entity_catalog", "consolidate_catalog", "consolidate_full_outer", "profile_text", "edges_physical",
     "edges_filtered", "edge_explanations", "evidence_details", "tfidf_weights", "cosine_links_dense",
-    "knn_outliers", "roc_auc_exact", "chains_3hop", "structuring_windows", "monthly_limits",
+    "knn_outliers", "roc_auc_exact", "chains_3hop", "structuring_windows", "monthly_limits", "cycles_fundamental", "feature_totals",
 ]
 
 
