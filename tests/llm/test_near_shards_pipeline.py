@@ -10,7 +10,7 @@ import xxhash
 from corpus_documents import empty, make, odd  # noqa: F401
 from riskweave.llm.components import connected_components
 from riskweave.llm.near_dedup import banding, near_duplicates, similarity_sketch
-from riskweave.llm.passages import _least_distinct, _Text, anchors, common_passages, compact_windows, repeated_passages
+from riskweave.llm.passages import _least_distinct, _reach, _Text, anchors, common_passages, compact_windows, repeated_passages
 from riskweave.llm.queries import documents_with_passages
 from riskweave.llm.sharding import RowPermutation, shard_documents
 from riskweave.llm.shingles import mix
@@ -204,6 +204,41 @@ def test_passages_apart_from_the_head(make, monkeypatch):
     assert got == {(0, 20, 80, 1), (1, 21, 81, 0)}
 
 
+def test_reach_against_loop():
+    rng = random.Random(3)
+    for _ in range(500):
+        tokens = np.array([rng.randrange(6) for _ in range(rng.randint(1, 14))], dtype=np.uint64)
+        foreign, limit = np.isin(tokens, rng.sample(range(6), 3)), rng.randint(0, 4)
+        want = []
+        for i in range(tokens.size):
+            m = 0
+            while i + m < tokens.size and len(set(tokens[i : i + m + 1][foreign[i : i + m + 1]].tolist())) <= limit:
+                m += 1
+            want.append(m)
+        assert _reach(tokens, foreign, limit).tolist() == want
+
+
+def test_recall_of_edited_passages(make):
+    """Of the pairs of passages at 80 % or more by their shingle sets, nine in ten are found, and no other pair is."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, similar = [], set()
+    for pair in range(80):
+        passage = fresh(rng.randint(60, 250))
+        other = list(passage)
+        for at in rng.sample(range(len(other)), len(other) * rng.randint(0, 4) // 100):
+            other[at : at + 1] = fresh(1)
+        a, b = shingles(passage), shingles(other)
+        if 100 * len(a & b) >= 80 * len(a | b):
+            similar.add(pair)
+        rows += [(2 * pair, " ".join(fresh(40) + passage + fresh(30))), (2 * pair + 1, " ".join(fresh(70) + other))]
+    got = [(r.doc_id, r.partner_id) for r in repeated_passages(make(rows)).collect()]
+    assert all(a // 2 == b // 2 for a, b in got)
+    found = {a // 2 for a, _ in got}
+    assert len(similar) > 40 and len(found & similar) >= 0.9 * len(similar)
+
+
 def test_links_of_documents(make):
     """A document with passages of unrelated ones is linked with each; copies count, an id's absence does no harm."""
     own = iter(range(10**6))
