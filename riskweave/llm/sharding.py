@@ -104,7 +104,10 @@ def shard_documents(
 
     Rows are numbered by (doc_id, crc32, size), nulls first, so the shuffle does
     not depend on how the table is partitioned.  Null text counts as empty.
-    Repeated rows each get a place of their own.  Other columns are not read.
+    Repeated rows each get a place of their own.  Groups of equal texts are not
+    kept together: the law is on rows, so that a text with many copies can't fill
+    a shard; copies have the same ``size`` and ``text_crc32``, which tell them.
+    Other columns are not read.
     """
     text = text_of(text_col)
     rows = docs.select(

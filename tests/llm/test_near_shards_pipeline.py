@@ -294,6 +294,10 @@ def test_shards(odd, empty, make):
         slots[r.shard].append(r.slot)
         assert r.size == 2 * (r.doc_id % 7) + 8
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # 71 copies or so of each text: one checksum, no shard of their own
+    for k in range(7):
+        copies = [r for r in got if r.doc_id % 7 == k]
+        assert len({r.text_crc32 for r in copies}) == 1 and len({r["shard"] for r in copies}) > 12
     again = shard_documents(make(rows[::-1]).repartition(5), 24).collect()
     assert {(r.doc_id, r["shard"], r.slot) for r in got} == {(r.doc_id, r["shard"], r.slot) for r in again}
     p = RowPermutation(500)  # a row's place can be computed from its number alone
