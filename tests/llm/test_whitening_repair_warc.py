@@ -142,6 +142,12 @@ def test_repair_equals_ordered_search(spark):
         assert got[c] == _brute(rows), (c, rows)
 
 
+def test_a_repeat_follows_its_truncated_first_row(spark):
+    given = {1: [(0, "user", "Hi."), (1, "assistant", "open"), (1, "assistant", "open")]}
+    row = conversations.repair_conversations(_conversations(spark, given)).first()
+    assert (row["audit"], row["cost"]) == ("KKD", 7) and tuple(row)[1:] == _brute(given[1])
+
+
 def test_repaired_rows_give_the_audit_and_are_legal(spark):
     import re
 
