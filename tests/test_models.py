@@ -5,10 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.sql import functions as F
 
 from riskweave.functions import stats
-from riskweave.operators import agglomerative, clustering, density, detectors, metric, metrics, mixture, similarity, supervised, tfidf
+from riskweave.operators import agglomerative, clustering, components, density, detectors, metric, metrics, mixture, similarity, supervised, tfidf
 from riskweave.operators.scaling import Scaler
 
 
@@ -497,6 +498,17 @@ def test_supervised_models_learn_and_reload(spark, tmp_path):
     assert one.count() == 0 and not none
 
 
+def test_models_learn_after_graph_rounds_in_one_session(spark):
+    """A fitted model's margin feeds a second fit, as in the kernel classifier, after components were found."""
+    links = spark.createDataFrame([(3, 2), (2, 1), (9, 8)], "node long, next long")
+    assert {r["node"]: r["end"] for r in components.follow(links).collect()} == {3: 1, 2: 1, 9: 8}
+    x = np.concatenate([np.linspace(-3, 0.2, 20), np.linspace(-0.2, 3, 20)])[:, None]
+    data = supervised._features(_points(spark, x, np.repeat([0, 1], 20)))
+    svc = LinearSVC(regParam=0.1).fit(data)
+    platt = LogisticRegression(maxIter=5).fit(supervised._margin(svc, data))
+    assert platt.coefficients[0] > 0
+
+
 def test_encoder_runs_in_tasks_and_is_normalised(spark):
     texts = spark.createDataFrame([("a", "xx"), ("b", None), ("c", "y")], "entity_id string, entity_profile_text string")
     factory = lambda: lambda items: np.array([[len(t), 1.0] for t in items])
