@@ -288,6 +288,11 @@ def test_clusterings_separate_blobs(spark, blobs):
         assert _same_partition(found, groups)
 
 
+def test_clusters_that_are_named_by_text_get_numbers(spark):
+    named = spark.createDataFrame([("p1", "p1"), ("p2", "p1"), ("p3", "p3"), ("p4", "-1")], "id string, label string")
+    assert {r["id"]: r["label"] for r in clustering.relabel(named).collect()} == {"p1": 0, "p2": 0, "p3": 1, "p4": -1}
+
+
 def test_mixture_equals_numpy_and_never_loses_likelihood(spark, blobs):
     model = mixture.fit_mixture(_points(spark, blobs), 3, restarts=1, tolerance=1e-9)
     steps = np.diff(model.history)
