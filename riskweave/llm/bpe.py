@@ -30,10 +30,9 @@ from riskweave.session import materialise
 #: Words in the lexicon and their longest length in bytes: bounds what is broadcast (a few MB).
 LEXICON_WORDS = 50_000
 LEXICON_BYTES = 48
-#: Distinct words a counting task holds before it hands its counts on.
+#: Distinct pieces and words a counting task holds before it hands its counts on, and the longest piece it holds.
 COUNT_WORDS = 200_000
-#: Texts whose words are counted for the lexicon, chosen by a hash of the text.
-LEXICON_TEXTS = 20_000
+COUNT_CHARS = 64
 #: Pieces of text that a task remembers, those after a space and others; then it starts anew.
 MEMO_SPACED = 400_000
 MEMO_FIRST = 100_000
@@ -56,6 +55,13 @@ TWO_WHITE = re.compile(r"\s\s")
 SPACE = regex.compile(r"(?<=\S) ")
 
 
+def _lines(part: str) -> list[list[str]]:
+    """Lines of pieces of a text without special tokens; between two lines is a line end, before each later piece a space."""
+    if TWO_WHITE.search(part):
+        return [SPACE.split(part)]
+    return [line.split(" ") for line in part.split("\n")]
+
+
 def _byte_letters() -> dict[str, int]:
     """Byte-level vocabularies write each byte as one printable letter."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -331,16 +337,8 @@ class Coder:
 
     def _layout(self, text: str) -> list[bytes | list[list[str]]]:
         """Special tokens as their ids, and what is between them as lines of pieces."""
-        out: list[bytes | list[list[str]]] = []
         known = self.special and any(s in text for s in self.special)
-        for part in self.parts.split(text) if known else [text]:
-            if part in self.special:
-                out.append(self.special[part])
-            elif TWO_WHITE.search(part):
-                out.append([SPACE.split(part)])
-            else:
-                out.append([line.split(" ") for line in part.split("\n")])
-        return out
+        return [self.special[part] if part in self.special else _lines(part) for part in (self.parts.split(text) if known else [text])]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; a special token's own text is that token."""
@@ -365,49 +363,82 @@ class Coder:
         return b"".join(self.table[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "replace")
 
 
+class _WordCounts:
+    """How often words of up to LEXICON_BYTES bytes occur: pieces are counted first, and distinct ones cut into words."""
+
+    def __init__(self, special: list[str]):
+        self.special = frozenset(special)
+        self.parts = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
+        self.first, self.spaced, self.words = Counter(), Counter(), Counter()
+
+    def __len__(self) -> int:
+        return len(self.first) + len(self.spaced) + len(self.words)
+
+    def add(self, text: str) -> None:
+        for part in self.parts.split(text) if self.parts and any(s in text for s in self.special) else [text]:
+            if part in self.special:
+                continue
+            lines = _lines(part)
+            self.words["\n"] += len(lines) - 1
+            for line in lines:
+                if max(map(len, line)) > COUNT_CHARS:  # long pieces are not held
+                    self._cut_long(line)
+                    continue
+                self.first[line[0]] += 1
+                self.spaced.update(line[1:])
+
+    def _cut_long(self, line: list[str]) -> None:
+        for i, piece in enumerate(line):
+            if len(piece) <= COUNT_CHARS:
+                (self.spaced if i else self.first)[piece] += 1
+            else:
+                self.words.update(w for w in WORD.findall(" " + piece if i else piece) if len(w) <= LEXICON_BYTES)
+
+    def taken(self) -> tuple[list[str], list[int]]:
+        """The words and their counts; counting starts anew."""
+        words = self.words
+        for pieces, before in ((self.first, ""), (self.spaced, " ")):
+            for piece, n in pieces.items():
+                if before and piece.isascii() and piece.isalpha():  # one word
+                    words[before + piece] += n
+                else:
+                    for w in WORD.findall(before + piece):
+                        words[w] += n
+        self.first, self.spaced, self.words = Counter(), Counter(), Counter()
+        found = [w for w, n in words.items() if n and len(w.encode()) <= LEXICON_BYTES]
+        return found, [words[w] for w in found]
+
+
 def count_words(texts: DataFrame, special: list[str]) -> DataFrame:
     """``(word, n)`` over all texts, words of up to LEXICON_BYTES bytes; tasks pre-aggregate."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
-    cut = regex.compile("|".join(map(regex.escape, special))) if special else None
 
-    def emit(counts: Counter) -> pa.RecordBatch:
-        words = [w for w in counts if len(w.encode()) <= LEXICON_BYTES]
-        return pa.record_batch([pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], schema)
+    def emit(counts: _WordCounts) -> pa.RecordBatch:
+        words, numbers = counts.taken()
+        return pa.record_batch([pa.array(words, pa.string()), pa.array(numbers, pa.int64())], schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts = _WordCounts(special)
         for batch in batches:
             for text in batch.column(0):
-                s = text.as_py()
-                for part in cut.split(s) if cut else [s]:
-                    counts.update(WORD.findall(part))
+                counts.add(text.as_py())
                 if len(counts) >= COUNT_WORDS:
                     yield emit(counts)
-                    counts.clear()
         yield emit(counts)
 
     return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def sample_texts(texts: DataFrame, most: int = LEXICON_TEXTS) -> DataFrame:
-    """About ``most`` of ``texts``, chosen by a hash of the text, or all where there are no more."""
-    rows = texts.count()
-    share = most / max(1, rows)
-    if share >= 1:
-        return texts
-    return texts.where(F.pmod(F.xxhash64(F.lit(7), F.col(texts.columns[0])), F.lit(1 << 30)) < int(share * (1 << 30)))
-
-
-def build_lexicon(texts: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_WORDS, most_texts: int = LEXICON_TEXTS) -> bytes:
-    """The compiled lexicon of the most frequent words of a sample of the texts, at most ``words`` of them.
+def build_lexicon(texts: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_WORDS) -> bytes:
+    """The compiled lexicon of the most frequent words of all texts, at most ``words`` of them.
 
-    Words outside the lexicon are merged, so the sample decides speed and never a result.  A
-    histogram of the logarithms of the counts tells from which count on the
-    words fit, so no more than these reach the driver.
+    Words outside the lexicon are merged.  A histogram of the logarithms of the
+    counts tells from which count on the words fit, so no more than these reach
+    the driver.
     """
     level = F.floor(16 * F.log2("n")).cast("int")
     counted = materialise(
-        count_words(sample_texts(texts, most_texts), sorted(vocabulary.special)).where("n > 1").withColumn("level", level), "word-counts"
+        count_words(texts, sorted(vocabulary.special)).where("n > 1").withColumn("level", level), "word-counts"
     )
     least, room = None, words
     for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # at most 16 x 64 levels

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from corpus_documents import empty, make, odd  # noqa: F401
-from riskweave.llm.bpe import Coder, Transducer, Vocabulary, encode_decode
+from riskweave.llm.bpe import LEXICON_BYTES, WORD, Coder, Transducer, Vocabulary, build_lexicon, count_words, encode_decode
 from riskweave.llm.html_text import BlockLabeller, Block, FEATURES, blocks_of, extract_main_text, train_labeller, weak_labels
 from riskweave.llm.langid import UNKNOWN, fit_ftrl, fit_temperature, held_out, predict_language, train_language_model
 
@@ -56,6 +57,22 @@ def test_coding_equals_library(library, vocabulary):
         assert coder.decode(packed(ids)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_lexicon_counts_the_words_of_every_text(spark):
+    # twenty words that occur in just two of 30,000 texts each
+    texts = spark.range(30_000).selectExpr("if(id % 1500 < 2, concat('a wort', chr(cast(97 + id div 1500 as int))), concat('a b', id)) AS text")
+    blob = Transducer(build_lexicon(texts, Vocabulary(PATH)))
+    assert (blob.slots_of([f" wort{chr(97 + i)}".encode() for i in range(20)]) >= 0).all()
+
+
+def test_word_counts_equal_a_plain_count(spark):
+    rng = random.Random(3)
+    parts = ["a", "b", " ", "  ", "\n", "\t", "é", "漢", "\u00a0", "'s", "1", "!", "<x>", "\r\n", "x" * 70, " ab"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    want = Counter(w for t in texts for p in t.split("<x>") for w in WORD.findall(p) if len(w.encode()) <= LEXICON_BYTES)
+    counted = count_words(spark.createDataFrame([(t,) for t in texts], "text string"), ["<x>"])
+    assert {r["word"]: r["n"] for r in counted.collect()} == want
+
+
 @pytest.mark.parametrize("lexicon_words", [0, 50_000])
 def test_coding_of_odd_rows(odd, empty, library, lexicon_words):
     got = encode_decode(odd, PATH, lexicon_words=lexicon_words).collect()
