@@ -130,8 +130,10 @@ def decontaminate(
         )
     )
     found = materialise(found, "leak-candidates")
-    # the words are split before the join: above it, a filter on the result would split them anew in every comparison
-    joined = rows.select("row", "doc_id", "k1", "k2", words_of(F.col("text")).alias("words")).join(found, ["k1", "k2"], "left")
+    # a text crosses the shuffle once, as it is, and is split after it
+    joined = rows.select("row", "doc_id", "k1", "k2").join(found, ["k1", "k2"], "left").select(
+        "row", "doc_id", "met", words_of(F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))).alias("words")
+    )
     words = F.col("words")
 
     def equal_windows(c: Column) -> Column:
@@ -155,12 +157,12 @@ def decontaminate(
     hits = F.coalesce(
         F.flatten(F.transform(F.col("met"), equal_windows)), F.array().cast("array<struct<start:int,end:int,item:string>>")
     )
-    return joined.select(
-        "row", "doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("found")
-    ).select(
-        "row", "doc_id", "n_words",
-        F.array_sort(F.transform("found", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.transform("found", lambda h: h["item"]))).alias("items"),
+    # one row each, exploded: a filter on the result stays above it and does not compare anew
+    told = F.struct(F.size("words").cast("long").alias("n_words"), hits.alias("found"))
+    return joined.select("row", "doc_id", F.explode(F.array(told)).alias("told")).select(
+        "row", "doc_id", "told.n_words",
+        F.array_sort(F.transform("told.found", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))).alias("hits"),
+        F.array_sort(F.array_distinct(F.transform("told.found", lambda h: h["item"]))).alias("items"),
     )
 
 

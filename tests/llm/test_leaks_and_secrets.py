@@ -57,6 +57,13 @@ def test_leaks_odd_rows(spark, odd, empty):
     assert decontaminate(odd, items.limit(0)).where(F.size("hits") > 0).count() == 0
 
 
+def test_texts_are_shuffled_as_they_are_and_split_once(spark, odd):
+    items = spark.createDataFrame([(1, "A, b; c")], "item_id long, text string")
+    clean = decontaminate(odd, items).where(F.size("hits") == 0).select("row.*")
+    above, below = clean._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")
+    assert "split(" not in below and above.count("split(") == 1
+
+
 def secrets_by_hand(text, rules=RULES):
     out = []
     for order, r in enumerate(rules):
