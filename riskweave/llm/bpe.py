@@ -19,7 +19,6 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -363,6 +362,28 @@ class Coder:
         return b"".join(self.table[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "replace")
 
 
+def code_groups(coder: Coder, batches: Iterable[pa.Array]) -> Iterator[pa.StructArray]:
+    """``ids``, ``n`` and ``decoded`` of each text in order, in pieces of about GROUP_CHARS characters however large a batch is."""
+
+    def coded(texts: list[str]) -> pa.StructArray:
+        ids = coder.encode_many(texts)
+        sizes = pa.array([len(p) // 4 for p in ids], pa.int64())
+        columns = [pa.array(ids, pa.binary()), sizes, pa.array([coder.decode(p) for p in ids], pa.string())]
+        return pa.StructArray.from_arrays(columns, ["ids", "n", "decoded"])
+
+    for texts in batches:
+        group: list[str] = []
+        held = 0
+        for text in texts:
+            group.append(text.as_py())
+            held += len(group[-1])
+            if held >= GROUP_CHARS:
+                yield coded(group)
+                group, held = [], 0
+        if group:
+            yield coded(group)
+
+
 class _WordCounts:
     """How often words of up to LEXICON_BYTES bytes occur: pieces are counted first, and distinct ones cut into words."""
 
@@ -472,21 +493,9 @@ def encode_decode(
     carried = [c for c in docs.columns if c not in names]
 
     # Only the text goes to Python; a task builds its coder once, and drops it with its memories at the end.
-    @F.pandas_udf("ids binary, n long, decoded string")
-    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = Coder(*shared.value)
-        for texts in batches:
-            ids: list[bytes] = []
-            group: list[str] = []
-            held = 0
-            for text in texts:
-                group.append(text)
-                held += len(text)
-                if held >= GROUP_CHARS:
-                    ids += coder.encode_many(group)
-                    group, held = [], 0
-            ids += coder.encode_many(group)
-            yield pd.DataFrame({"ids": ids, "n": [len(p) // 4 for p in ids], "decoded": [coder.decode(p) for p in ids]}, columns=["ids", "n", "decoded"])
+    @F.arrow_udf("ids binary, n long, decoded string")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from code_groups(Coder(*shared.value), batches)
 
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), code.asNondeterministic()(text).alias("coded"))
     return given.select(

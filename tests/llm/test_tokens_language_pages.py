@@ -5,11 +5,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from corpus_documents import empty, make, odd  # noqa: F401
-from riskweave.llm.bpe import LEXICON_BYTES, WORD, Coder, Transducer, Vocabulary, build_lexicon, count_words, encode_decode
+from riskweave.llm.bpe import LEXICON_BYTES, WORD, Coder, Transducer, Vocabulary, build_lexicon, code_groups, count_words, encode_decode
 from riskweave.llm.html_text import BlockLabeller, Block, FEATURES, blocks_of, extract_main_text, train_labeller, weak_labels
 from riskweave.llm.langid import UNKNOWN, fit_ftrl, fit_temperature, held_out, predict_language, train_language_model
 
@@ -83,6 +84,15 @@ def test_coding_of_odd_rows(odd, empty, library, lexicon_words):
     assert encode_decode(empty, PATH).count() == 0
 
 
+def test_a_large_batch_is_coded_in_pieces(library, vocabulary, monkeypatch):
+    monkeypatch.setattr("riskweave.llm.bpe.GROUP_CHARS", 100)
+    texts = [f"text {i} " + "é漢 " * (i % 9) for i in range(300)] + ["", "x" * 1000, ""]
+    pieces = [*code_groups(Coder(vocabulary, Transducer.compile([])), [pa.array(texts), pa.array([], pa.string())])]
+    assert max(len("".join(p.field("decoded").to_pylist()[:-1])) for p in pieces) < 100
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [r for p in pieces for r in p.to_pylist()] == [{"ids": packed(i), "n": len(i), "decoded": t} for i, t in zip(ids, texts)]
+
+
 def test_coding_query_equals_library(spark, library):
     import hashlib
 
