@@ -91,6 +91,9 @@ class Vocabulary:
         self.base = size + 1  # the last number stands for no symbol
         table = sorted((a * self.base + b, rank, new) for (a, b), (rank, new) in self.merges.items())
         self.pair, self.rank, self.new = (np.array([r[i] for r in table] or [-1], dtype=np.int64) for i in range(3))
+        # rank and symbol of each pair of bytes; the last number again stands for no symbol
+        symbols = np.array([*self.of_byte, self.base - 1], dtype=np.int64)
+        self.byte_rank, self.byte_new = self._ranks(symbols[:, None], symbols[None, :])
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word: lowest rank first, leftmost of equals."""
@@ -107,7 +110,7 @@ class Vocabulary:
     def merge_many(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of many words of up to MANY_BYTES bytes, all merged step by step at once."""
         out: list[bytes] = [b""] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        order = np.argsort([len(w) for w in words], kind="stable").tolist()
         for start in range(0, len(order), MANY_WORDS):
             mine = order[start : start + MANY_WORDS]
             self._merge_block([words[i] for i in mine], mine, out)
@@ -119,15 +122,19 @@ class Vocabulary:
         size = np.array([len(w) for w in words])
         rows = np.array(places)
         column = np.arange(width)
-        ids = np.where(column < size[:, None], np.array(self.of_byte, dtype=np.int64)[raw], self.base - 1)
-        rank, new = self._ranks(ids[:, :-1], ids[:, 1:])
+        letter = np.where(column < size[:, None], raw.astype(np.int64), 256)
+        ids = np.array([*self.of_byte, self.base - 1], dtype=np.int64)[letter]
+        pair = letter[:, :-1] * 257 + letter[:, 1:]
+        rank, new = self.byte_rank.take(pair), self.byte_new.take(pair)
         while len(rows):
             at = rank.argmin(1)
             here = np.arange(len(rows))
             going = rank[here, at] < NEVER
             if not going.all():
-                for i in np.flatnonzero(~going):
-                    out[rows[i]] = ids[i, : size[i]].astype("<u4").tobytes()
+                done = ~going
+                packed, step = ids[done].astype("<u4").tobytes(), 4 * width
+                for i, (row, n) in enumerate(zip(rows[done].tolist(), size[done].tolist())):
+                    out[row] = packed[i * step : i * step + 4 * n]
                 ids, rank, new, size, rows, at = (x[going] for x in (ids, rank, new, size, rows, at))
                 here = here[: len(rows)]
                 if not len(rows):
@@ -295,9 +302,9 @@ class Coder:
         self.parts = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
-        self.table = np.array([*vocabulary.token_bytes, b""], dtype=object)
+        self.table = pa.array(vocabulary.token_bytes, pa.large_binary())
 
-    def words(self, words: list[str]) -> dict[str, bytes]:
+    def words(self, words: list[str]) -> list[bytes]:
         """Packed ids of each word."""
         raw = [w.encode() for w in words]
         slots = self.lexicon.slots_of(raw).tolist()
@@ -309,11 +316,11 @@ class Coder:
         for i in unseen:
             if len(raw[i]) > MANY_BYTES:
                 ids[i] = array("I", self.vocabulary.merge(raw[i])).tobytes()
-        return dict(zip(words, ids))
+        return ids
 
     def _learn(self, first: set[str], spaced: set[str]) -> None:
         """Remember pieces that begin a line and pieces that follow a space; full memories start anew."""
-        new_first, new_spaced = {p for p in first if p not in self.first}, {p for p in spaced if p not in self.spaced}
+        new_first, new_spaced = first.difference(self.first), spaced.difference(self.spaced)
         if len(self.first) + len(new_first) > MEMO_FIRST:
             self.first, new_first = {}, first
         if len(self.spaced) + len(new_spaced) > MEMO_SPACED:
@@ -321,15 +328,15 @@ class Coder:
         if not new_first and not new_spaced:
             return
         # a piece of ASCII letters is one word, also after a space
-        plain = {p for p in new_spaced if p.isascii() and p.isalpha()}
+        plain = [p for p in new_spaced if p.isascii() and p.isalpha()]
         cut_first = {p: WORD.findall(p) for p in new_first}
-        cut_spaced = {p: WORD.findall(" " + p) for p in new_spaced - plain}
-        distinct = {" " + p for p in plain}
+        cut_spaced = {p: WORD.findall(" " + p) for p in new_spaced.difference(plain)}
+        distinct: set[str] = set()
         for cut in (cut_first, cut_spaced):
             distinct.update(*cut.values())
-        ids = self.words([*distinct])
-        for p in plain:
-            self.spaced[p] = ids[" " + p]
+        found = self.words([*distinct, *(" " + p for p in plain)])
+        ids = dict(zip(distinct, found))
+        self.spaced.update(zip(plain, found[len(distinct) :]))
         for memo, cut in ((self.first, cut_first), (self.spaced, cut_spaced)):
             for piece, ws in cut.items():
                 memo[piece] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
@@ -358,8 +365,20 @@ class Coder:
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 
+    def decode_many(self, ids: list[bytes]) -> pa.Array:
+        """Texts of packed ids; bytes that are no UTF-8 become replacement characters."""
+        tokens = self.table.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        # the tokens' bytes follow one another, so a text reaches from its first token's offset to the next text's
+        starts = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1, 8 * tokens.offset)
+        at = np.cumsum([0, *(len(p) // 4 for p in ids)])
+        texts = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(starts[at].tobytes()), tokens.buffers()[2]])
+        try:
+            return texts.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
     def decode(self, ids: bytes) -> str:
-        return b"".join(self.table[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "replace")
+        return self.decode_many([ids])[0].as_py()
 
 
 def code_groups(coder: Coder, batches: Iterable[pa.Array]) -> Iterator[pa.StructArray]:
@@ -368,7 +387,7 @@ def code_groups(coder: Coder, batches: Iterable[pa.Array]) -> Iterator[pa.Struct
     def coded(texts: list[str]) -> pa.StructArray:
         ids = coder.encode_many(texts)
         sizes = pa.array([len(p) // 4 for p in ids], pa.int64())
-        columns = [pa.array(ids, pa.binary()), sizes, pa.array([coder.decode(p) for p in ids], pa.string())]
+        columns = [pa.array(ids, pa.binary()), sizes, coder.decode_many(ids)]
         return pa.StructArray.from_arrays(columns, ["ids", "n", "decoded"])
 
     for texts in batches:
@@ -416,18 +435,22 @@ class _WordCounts:
                 self.words.update(w for w in WORD.findall(" " + piece if i else piece) if len(w) <= LEXICON_BYTES)
 
     def taken(self) -> tuple[list[str], list[int]]:
-        """The words and their counts; counting starts anew."""
-        words = self.words
+        """Words and their counts, which add up where a word stands twice; counting starts anew."""
+        words, get = self.words, self.words.get
+        found: list[str] = []
+        numbers: list[int] = []
         for pieces, before in ((self.first, ""), (self.spaced, " ")):
             for piece, n in pieces.items():
                 if before and piece.isascii() and piece.isalpha():  # one word
-                    words[before + piece] += n
+                    if len(piece) < LEXICON_BYTES:
+                        found.append(before + piece)
+                        numbers.append(n)
                 else:
                     for w in WORD.findall(before + piece):
-                        words[w] += n
+                        words[w] = get(w, 0) + n
         self.first, self.spaced, self.words = Counter(), Counter(), Counter()
-        found = [w for w, n in words.items() if n and len(w.encode()) <= LEXICON_BYTES]
-        return found, [words[w] for w in found]
+        short = [w for w, n in words.items() if n and len(w.encode()) <= LEXICON_BYTES]
+        return found + short, numbers + [words[w] for w in short]
 
 
 def count_words(texts: DataFrame, special: list[str]) -> DataFrame:

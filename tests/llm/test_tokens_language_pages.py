@@ -93,6 +93,17 @@ def test_a_large_batch_is_coded_in_pieces(library, vocabulary, monkeypatch):
     assert [r for p in pieces for r in p.to_pylist()] == [{"ids": packed(i), "n": len(i), "decoded": t} for i, t in zip(ids, texts)]
 
 
+def test_many_texts_are_decoded_at_once(library, vocabulary):
+    coder, rng = Coder(vocabulary, Transducer.compile([])), random.Random(4)
+    valid = [library.encode(t, add_special_tokens=False).ids for t in ("", "é漢", "<|endoftext|>", " a b", "")]
+    broken = [[rng.randrange(50257) for _ in range(n)] for n in (3, 0, 9)]
+    for group in ([], [[]], valid, valid + broken):
+        assert coder.decode_many([packed(i) for i in group]).to_pylist() == [library.decode(i, skip_special_tokens=False) for i in group]
+    # a character cut between two texts is replaced in both
+    halves = [library.encode("漢", add_special_tokens=False).ids[:1], library.encode("漢", add_special_tokens=False).ids[1:]]
+    assert coder.decode_many([packed(i) for i in halves]).to_pylist() == [library.decode(i, skip_special_tokens=False) for i in halves]
+
+
 def test_coding_query_equals_library(spark, library):
     import hashlib
 
