@@ -4,16 +4,29 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from corpus_documents import empty, make, odd  # noqa: F401
 from riskweave.llm.components import connected_components
 from riskweave.llm.near_dedup import banding, near_duplicates, similarity_sketch
-from riskweave.llm.passages import _least_distinct, _reach, _Text, anchors, common_passages, compact_windows, repeated_passages
+from riskweave.llm.passages import (
+    _least_distinct,
+    _meet,
+    _reach,
+    _seeded_windows,
+    _Text,
+    anchors,
+    common_passages,
+    compact_windows,
+    repeated_passages,
+    window_hashes,
+)
 from riskweave.llm.queries import documents_with_passages
 from riskweave.llm.sharding import RowPermutation, shard_documents
 from riskweave.llm.shingles import mix
+from riskweave.session import materialise
 
 SF = "/root/testdata/sf0.001"
 
@@ -204,6 +217,63 @@ def test_passages_apart_from_the_head(make, monkeypatch):
     assert got == {(0, 20, 80, 1), (1, 21, 81, 0)}
 
 
+def test_windows_of_many_texts_against_each_alone():
+    """Texts cut together, and hash functions cut together, have the windows that each has alone."""
+    rng = np.random.default_rng(6)
+    seeds = mix(np.arange(1, 5, dtype=np.uint64))
+    for _ in range(50):
+        texts = [mix(rng.integers(0, 40, int(n)).astype(np.uint64)) for n in rng.integers(0, 60, 7)]
+        key, owner = window_hashes(texts, seeds, 9)
+        got = sorted(zip(owner.tolist(), key.tolist()))
+        alone = [[(mix(t ^ s), *compact_windows(mix(t ^ s), 9)) for s in seeds] for t in texts]
+        assert got == sorted({(i, int(k)) for i, found in enumerate(alone) for v, at, _, _ in found for k in v[at]})
+        for t, found in zip(texts, alone):
+            for (v, *want), (keys, *have) in zip(found, _seeded_windows(t, seeds, 9)):
+                assert keys.tolist() == v[want[0]].tolist() and [x.tolist() for x in have] == [x.tolist() for x in want]
+
+
+def test_meeting_texts_against_loop():
+    """Pairs that share a key at which one is open, with 80 % of the least distinct tokens of a stretch in common."""
+    rng = random.Random(9)
+    keys = lambda k: np.array(rng.sample(range(12), k), dtype=np.int64)
+    for _ in range(40):
+        phrase = [f"p{i}" for i in range(30)]
+        texts, rows = [], []
+        for k1 in range(rng.randint(1, 9)):
+            words = phrase[rng.randrange(15) : rng.randint(16, 30)] + [f"u{rng.randrange(50)}" for _ in range(20)]
+            texts.append(_Text(" ".join(words), 2, 10, 0))
+            mine = keys(rng.randint(1, 5))
+            opened = mine[: rng.randint(0, mine.size)]
+            rows.append((k1, opened.size > 0, True, opened, mine, pa.scalar(" ".join(words))))
+        want = set()
+        for a, x in enumerate(rows):
+            for b, y in enumerate(rows[:a]):
+                meet = set(x[3].tolist()) & set(y[4].tolist()) or set(y[3].tolist()) & set(x[4].tolist())
+                common = len(set(texts[a].tokens.tolist()) & set(texts[b].tokens.tolist()))
+                if meet and 100 * common >= 80 * max(texts[a].least_distinct, texts[b].least_distinct):
+                    want.add((a, b))
+        got = [(max(p, q), min(p, q)) for p, q in zip(*(z.tolist() for z in _meet(rows, 2, 10, 80)))]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_open_texts_come_once_per_head(make, monkeypatch):
+    """Texts with two common lines, each too short for a passage, are sent to their head once and not for each key."""
+    tables = {}
+
+    def spy(df, label="t"):
+        tables[label] = materialise(df, label)
+        return tables[label]
+
+    monkeypatch.setattr("riskweave.llm.passages.materialise", spy)
+    rng = random.Random(11)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    first, second = fresh(40), fresh(40)
+    rows = [(i, " ".join([*fresh(50), *first, *fresh(60), *(second if i % 3 else []), *fresh(50)])) for i in range(12)]
+    assert repeated_passages(make(rows)).count() == 0
+    sent = tables["windows-apart"]
+    assert sent.count() > 10 and sent.count() == sent.select("head", "k1").distinct().count()
+
+
 def test_reach_against_loop():
     rng = random.Random(3)
     for _ in range(500):
