@@ -323,6 +323,17 @@ def test_links_of_documents(make):
     assert got == {10: (4, 3, 2), 4: (4, 1, 1), 7: (4, 2, 2), 8: (4, 2, 2), 1: (1, 1, 1), None: (1, 1, 1)}
 
 
+def test_members_of_a_passage_are_all_linked(make, monkeypatch):
+    """Texts that all hold one passage are linked two by two, whichever comes first at its windows."""
+    monkeypatch.setattr("riskweave.llm.passages.BLOCK_ROWS", 2)
+    rng = random.Random(14)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(90)
+    rows = [(i, " ".join(fresh(20 + i) + passage + fresh(30))) for i in range(7)]
+    got = {x.doc_id: (x.component_id, x.n_links, x.passages) for x in documents_with_passages(make(rows)).collect()}
+    assert got == {i: (0, 6, f"{20 + i}:{110 + i}") for i in range(7)}
+
+
 def test_passages(make, odd, empty):
     rng = random.Random(8)
     fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
