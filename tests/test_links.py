@@ -292,3 +292,46 @@ def test_smoothing_of_two_equal_nodes(spark):
     assert out["A"][1:] == out["B"][1:] and len(set(out["A"][1:])) == 1
     # Equal neighbours with weight 1 average back to their own scaled sum.
     assert out["A"]["gnn_feature_0"] == pytest.approx(0.5 * 4 * (-0.7071067811865475), abs=1e-6)
+
+
+@pytest.fixture(params=[0.0, float("inf")], ids=["cells", "joined"])
+def counting(request, monkeypatch):
+    """Pairs counted in tiny cells and strips, or joined."""
+    for name, value in (("PAIRS_PER_ROW", request.param), ("CELL_ROWS", 17), ("GRID", 40), ("MET", 30)):
+        monkeypatch.setattr(f"riskweave.operators.shared.{name}", value)
+
+
+def test_counts_of_pairs_are_the_same_in_cells(spark, counting):
+    ev = _random_evidence(spark, 7, 60).unionByName(_evidence(spark, [("é", "hot", "h1"), ("Z", "hot", None), (None, "hot", "h1"), ("é", "hot", "h2")]))
+    rows, want = ev.collect(), {}
+    for kind, col, w in (("shared_reference", "url_or_reference", 1.0), ("shared_content", "raw_content_hash", 1.5)):
+        groups: dict = {}
+        for r in rows:
+            if r[col] is not None and r["entity_id"] is not None:
+                groups.setdefault(r[col], set()).add(r["entity_id"])
+        for members in groups.values():
+            for a, b in itertools.combinations(sorted(members, key=str.encode), 2):
+                want[(a, b, kind)] = want.get((a, b, kind), 0.0) + w
+    made = edges.physical_edges(ev)
+    assert made.schema.simpleString() == f"struct<{EDGE.replace(' ', ':').replace(',:', ',')}>"
+    assert made.count() == len(want) and _edge_set(made) == want
+    assert _edge_set(edges.strong_edges(ev)) == {e: w for e, w in want.items() if e[2] == "shared_content" or w >= 2}
+    last = {e[:2]: (e[2], want[e]) for e in sorted(want)}
+    assert _edge_set(edges.collapse(made)) == {(*e, r): w for e, (r, w) in last.items()}
+    assert _edge_set(edges.collapse(made.where("weight > 1"))) == {
+        (*e, r): w for e, (r, w) in {e[:2]: (e[2], want[e]) for e in sorted(want) if want[e] > 1}.items()
+    }
+    catalog = spark.createDataFrame([("é",), ("alone",)], "entity_id string")
+    degrees = {r["entity_id"]: r["degree"] for r in edges.node_degree(catalog, made).collect()}
+    assert degrees == {"alone": 0} | {x: sum(x in e for e in last) for x in {x for e in last for x in e}}
+    kinds = [r for *_, r in want]
+    assert {r["relation_type"]: r["edges"] for r in edges.relation_counts(made).collect()} == {r: kinds.count(r) for r in set(kinds)}
+    told = [r[1] for r in edges.topology_stats(catalog, made).collect()]
+    assert told == [2, kinds.count("shared_reference"), kinds.count("shared_content"), 0, len(kinds), 0]
+
+
+def test_pairs_of_hot_keys_cross_no_shuffle(spark):
+    """Collapsed edges of keys with many members: what is sent are the members' keys, not the pairs."""
+    ev = _evidence(spark, [(f"E{i:03d}", f"k{i % 3}", "h") for i in range(300)])
+    plan = edges.collapse(edges.physical_edges(ev))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Exchange") == 1
