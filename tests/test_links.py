@@ -335,3 +335,29 @@ def test_pairs_of_hot_keys_cross_no_shuffle(spark):
     ev = _evidence(spark, [(f"E{i:03d}", f"k{i % 3}", "h") for i in range(300)])
     plan = edges.collapse(edges.physical_edges(ev))._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and plan.count("Exchange") == 1
+
+
+def test_least_keys_and_strongest_links_are_the_same_in_cells(spark, counting):
+    ev = _random_evidence(spark, 8, 50)
+    made = edges.physical_edges(ev)
+    assert (edges.counted_in(made) is None) == (edges.counted_in(edges.strong_edges(ev)) is None)
+    table, keys = _edge_set(made), {}
+    for r in ev.collect():
+        keys.setdefault(("shared_reference", r["entity_id"]), set()).add(r["url_or_reference"])
+        keys.setdefault(("shared_content", r["entity_id"]), set()).add(r["raw_content_hash"])
+    for kind in ("shared_reference", "shared_content"):
+        common = {(a, b): (keys[kind, a] & keys[kind, b]) - {None} for a, b, _ in table}
+        got = [((r["source"], r["target"]), r["key"]) for r in edges.shared_keys_of(made, ev, kind).collect()]
+        assert sorted(got) == sorted((e, min(k)) for e, k in common.items() if k)
+    other = ev.where("url_or_reference <> 'hot'")  # edges of one table, keys of another
+    got = {(r["source"], r["target"]): r["key"] for r in edges.shared_keys_of(made, other, "shared_reference").collect()}
+    assert "hot" not in got.values()
+    told = {tuple(r) for r in edges.explain_edges(made, ev).collect()}
+    assert told == {tuple(r) for r in edges.explain_edges(made.where("weight > 0"), ev).collect()} and len(told) == len(table)
+    top = {tuple(r) for r in ego.ego_network(made, top=4).collect()}
+    assert top == {tuple(r) for r in ego.ego_network(made.where("weight > 0"), top=4).collect()}
+    for kind in ("semantic_similarity", "shared_reference"):
+        links = spark.createDataFrame([("E001", "E002", kind, 0.8), ("E001", "E002", kind, 9.5), ("E001", "ZZ", kind, 0.7)], EDGE)
+        merged = edges.merge_semantic(made, links)
+        assert merged.count() == len(want := table | {("E001", "E002", kind): 9.5, ("E001", "ZZ", kind): 0.7})
+        assert _edge_set(merged) == want
