@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.operators.edges import SEMANTIC, both_ways
+from riskweave.operators.edges import KEY_WEIGHTS, SEMANTIC, both_ways, counted_in
 
 MAX_NEIGHBOURS = 30
 MAX_ENTITIES = 10
@@ -17,7 +17,8 @@ def ego_network(edges: DataFrame, centres: DataFrame | None = None, top: int = M
     The rank filter is a group limit: each task keeps ``top`` rows per entity
     before the exchange, so a hub never gathers its whole neighbourhood.
     """
-    links = both_ways(edges, "relation_type")
+    shared = counted_in(edges)
+    links = both_ways(edges, "relation_type") if shared is None else shared.strongest(top, KEY_WEIGHTS)
     if centres is not None:
         links = links.join(
             centres.select(F.col("entity_id").alias("src")).distinct(), "src", "left_semi"
