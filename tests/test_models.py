@@ -138,6 +138,28 @@ def test_cohesion_and_silhouette_fixture(spark, blobs):
     assert metrics.silhouette(_points(spark, blobs, np.zeros(126, int))) is None
 
 
+@pytest.mark.parametrize("width", [2, 20])
+def test_distance_sums_by_the_number_of_a_point(spark, monkeypatch, width):
+    """Sums over points that come twice and under two labels; blocks return no vectors."""
+    monkeypatch.setattr(metrics, "STRIP_ROWS", 4)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (70, width)).astype(float)
+    x[60:] = x[:10]
+    y = rng.integers(0, 3, 70)
+    df = _points(spark, x, y)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = {(tuple(x[i]), y[i], c): (d[i, y == c].sum(), sum((x == x[i]).all(1) & (y == y[i]))) for i in range(70) for c in range(3)}
+    found = metrics.label_distances(df, block_rows=13)
+    rows = found.collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        total, copies = want[tuple(r["vec"]), r["label"], r["other"]]
+        assert r["total"] == pytest.approx(total, abs=1e-6) and r["copies"] == copies
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = [line for line in plan if "FlatMapGroupsInPandas" in line]
+    assert made and not any("vec" in line.rsplit("[", 1)[1] for line in made)
+
+
 def test_curve_areas_against_definition(spark):
     rng = np.random.default_rng(3)
     truth = rng.integers(0, 2, 80)
